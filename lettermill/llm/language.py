@@ -14,8 +14,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,9 +166,7 @@ def language_column(model: LanguageModel):
     """A column function from texts to struct(lang_pred, score), for callers that keep whole rows."""
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: "Iterator[pd.Series]") -> "Iterator[pd.DataFrame]":  # noqa: F821
-        import pandas as pd
-
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         cache: dict = {}
         for texts in batches:
             yield pd.DataFrame([model.predict(t, cache) for t in texts], columns=["lang_pred", "score"])

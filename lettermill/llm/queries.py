@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, language, licences, media, mixing, sharding, simhash, topk, toxicity
+from lettermill.llm import bpe, language, licences, media, mixing, pii, sharding, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.fit(docs), id_cols=["doc_id"])
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_text(_table(spark, sf_dir, "documents"), id_cols=["doc_id"])
     return media.stored_features(stored, keep=["doc_id", "n_bytes"])
@@ -66,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_personal_data": op3_personal_data,
     "op4_media_columns": op4_media_columns,
     "op5_sharding": op5_sharding,
     "op6_licence_scan": op6_licence_scan,

@@ -17,8 +17,10 @@ Nothing is capped and no link between components is lost.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -202,3 +204,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = placed.df.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.df.join(named, "root").select("fp", "component_id")
     return own.df.join(by_fp, "fp").select(F.col("_id_").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
+    """The documents without near copies of others: of each component the row with the smallest id stays, and of rows
+    that tie on it one by a hash of its columns. Null ids come last. Rows are whole, with their own columns only."""
+    own, fp, key = list(docs.columns), "_simhash_fp", "_simhash_row"
+
+    @F.pandas_udf("long")
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(text_fingerprints(texts.tolist(), words).view(np.int64))
+
+    full = Written(docs.withColumn(fp, prints(F.col(text_col))).withColumn(key, F.xxhash64(*own)), "documents").df
+    narrow = full.select(F.col(fp).alias("fp"), F.col(id_col).alias("id"), F.col(key).alias("row"))
+    each = Written(narrow.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")), "distinct").df
+    roots = components(links(each.select("fp"), distance=distance))
+    named = each.join(roots, each.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("least", "fp")).alias("k"))
+    # One row for each component, with the fingerprint, id and hash of the row that stays.
+    stay = named.select(F.col("k.fp").alias("_s_fp"), F.col("k.least.id").alias("_s_id"), F.col("k.least.row").alias("_s_row"))
+    same = F.col(fp).eqNullSafe(F.col("_s_fp")) & F.col(id_col).eqNullSafe(F.col("_s_id")) & F.col(key).eqNullSafe(F.col("_s_row"))
+    kept = Written(full.join(stay, same, "left_semi"), "kept").df
+    # Rows equal in every column are all found above; only those, usually none, are shuffled to leave one of each.
+    again = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
+    single = kept.join(again, key, "left_anti").select(*own)
+    return single.unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]).select(*own))
