@@ -93,7 +93,7 @@ def spellfix(spark, d):
 
 @query(f"""WITH {_T}, u AS (SELECT DISTINCT doc_id, term FROM t), own AS (SELECT doc_id FROM u WHERE term = 'thing' ORDER BY doc_id DESC LIMIT 64),
 n AS (SELECT count(*) AS n FROM own), f AS (SELECT term, count(*) AS df FROM u GROUP BY 1), c AS (SELECT term, count(*) AS co FROM u WHERE doc_id IN (SELECT doc_id FROM own) AND term <> 'thing' GROUP BY 1)
-SELECT term, round(ln((co / n) / (df / 1000.0)), 6) AS pmi FROM c JOIN f USING (term), n WHERE co >= 2 AND df <= 600 AND ln((co / n) / (df / 1000.0)) >= 1 ORDER BY round(ln((co / n) / (df / 1000.0)), 9) DESC, term LIMIT 3""")
+SELECT term, round(ln((co / n) / (df / (SELECT count(*) FROM documents)::DOUBLE)), 6) AS pmi FROM c JOIN f USING (term), n WHERE co >= 2 AND df <= 0.6 * (SELECT count(*) FROM documents) AND ln((co / n) / (df / (SELECT count(*) FROM documents)::DOUBLE)) >= 1 ORDER BY round(ln((co / n) / (df / (SELECT count(*) FROM documents)::DOUBLE)), 9) DESC, term LIMIT 3""")
 def pmi_synonyms(spark, d):
     t = docs(spark, d)
     return retrieve.pmi_synonyms(retrieve.positions(t), "thing", t.count())
