@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lettermill.llm._common import Written, row_batches
 
 NO_ID = np.iinfo(np.int64).max
+LIMIT = 1 << 60  #: scores beyond it, of components in the hundred millions, stand as it
 _BLOCK = "block long, rows int, dim int, ids binary, keys binary, data binary"
 
 
@@ -74,7 +75,7 @@ def _matrix(rows: int, dim: int, data: bytes) -> np.ndarray:
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products as int64: in float32 or float64 where those hold every partial sum exactly, in Python's integers
-    beyond that, with results that no long can hold at its limits."""
+    beyond that."""
     dim = min(q.shape[1], c.shape[1])
     q, c = q[:, :dim], c[:, :dim]
     if not dim:
@@ -85,7 +86,7 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if most < 2**53:
         return (q @ c.T).astype(np.int64)
     whole = np.array([[int(x) for x in row] for row in q], object) @ np.array([[int(x) for x in row] for row in c], object).T
-    return np.clip(whole, np.iinfo(np.int64).min, np.iinfo(np.int64).max).astype(np.int64)
+    return np.clip(whole, -LIMIT, LIMIT).astype(np.int64)
 
 
 def _count(bins: int, k: int):
@@ -168,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(F.floor(x.cast("double") * 64), 2)))
     ok = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     top = base.filter(F.col("vec").isNotNull() & ok).agg(F.max(F.when(F.col("asks"), norm(F.col("vec")))).alias("q"), F.max(norm(F.col("vec"))).alias("c")).first()
-    bound = min(int((top.q or 0.0) * (top.c or 0.0) * (1 + 1e-9)) + 1, 2**62)
+    bound = min(int((top.q or 0.0) * (top.c or 0.0) * (1 + 1e-9)) + 1, LIMIT)
     low = -bound
     width = -(-(2 * bound + 1) // bins)
     span = width * bins
