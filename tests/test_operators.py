@@ -152,3 +152,26 @@ def test_queue(spark):
     got = {r.id: r for r in queue.lease(q, 10, 1).collect()}
     assert got[2].state == "leased" and got[2].lease_until == 310 and got[1].state == "pending"
     assert {r.id: r.state for r in queue.reap(q, 10).collect()}[4] == "pending"
+
+
+def test_upkeep(spark):
+    from datetime import datetime
+
+    import pytest
+
+    from lettermill.operators import upkeep
+
+    with pytest.raises(upkeep.OverCap):
+        upkeep.capped(spark.range(5), 4)
+    loop = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "node string, parent string")
+    assert upkeep.has_cycle(loop) and not upkeep.has_cycle(loop.filter("node <> 'c'"))
+    l1 = spark.createDataFrame([(1, 3.0), (2, 2.0)], "doc_id long, score double")
+    turned = spark.createDataFrame([(1, 2), (2, 1)], "doc_id long, place int")
+    got = {r.doc_id: r.score for r in upkeep.rerank(l1, turned).collect()}
+    assert got[2] > got[1] and abs(got[2] - 3) < 1e-6
+    assert {r.doc_id: r.score for r in upkeep.rerank(l1, turned.limit(1)).collect()} == {1: 3.0, 2: 2.0}
+    now = datetime(2026, 2, 14, 12, 0)  # a Saturday
+    assert upkeep.natural_time("tomorrow 9am", now) == datetime(2026, 2, 15, 9)
+    assert upkeep.natural_time("friday 14:30", now) == datetime(2026, 2, 20, 14, 30)
+    assert upkeep.natural_time("in 2 hours", now) == datetime(2026, 2, 14, 14) and upkeep.natural_time("soon", now) is None
+    assert upkeep.fresh(3, 3, 99) and not upkeep.fresh(2, 3, 99)

@@ -4,10 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lettermill.queries import mail, relational, search, sources
+from lettermill.queries import mail, relational, search, sources, upkeep
 
-QUERIES = {n: f for m in (relational, search, mail, sources) for n, f in m.QUERIES.items()}
-ORACLE = {n: f for m in (relational, search, mail, sources) for n, f in m.ORACLE.items()}
+QUERIES = {n: f for m in (relational, search, mail, sources, upkeep) for n, f in m.QUERIES.items()}
+ORACLE = {n: f for m in (relational, search, mail, sources, upkeep) for n, f in m.ORACLE.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
