@@ -154,15 +154,15 @@ def _mentions(spark, d) -> DataFrame:
     return docs(spark, d).select("doc_id", F.lit("email").alias("kind"), F.explode(F.transform(found, lambda x: F.lower(x))).alias("norm"), F.lit(0.9).alias("confidence"))
 
 
-@query(f"WITH {_MENTIONS} SELECT doc_id, round(sum(s), 6) AS score FROM (SELECT doc_id, norm, max(confidence * 0.6) AS s FROM m WHERE norm IN ('34@mail7.example.com', '55@mail9.example.com', '27@mail6.example.com') GROUP BY 1, 2) GROUP BY 1")
+@query(f"WITH {_MENTIONS} SELECT doc_id, round(sum(s), 6) AS score FROM (SELECT doc_id, norm, max(confidence * 0.6) AS s FROM m WHERE norm IN ('68@mail2.example.com', '46@mail8.example.com', '09@mail3.example.com') GROUP BY 1, 2) GROUP BY 1")
 def entity_lookup(spark, d):
-    wanted = spark.createDataFrame([("email", e, 0.6) for e in ("34@mail7.example.com", "55@mail9.example.com", "27@mail6.example.com")], "kind string, norm string, boost double")
+    wanted = spark.createDataFrame([("email", e, 0.6) for e in ("68@mail2.example.com", "46@mail8.example.com", "09@mail3.example.com")], "kind string, norm string, boost double")
     return retrieve.entity_lookup(_mentions(spark, d), wanted).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {_MENTIONS} SELECT norm, count(*) AS mentions, count(DISTINCT doc_id) AS messages, max(doc_id) AS last_seen FROM m WHERE contains(norm, 'mail7') GROUP BY 1 ORDER BY messages DESC, mentions DESC, last_seen DESC, norm LIMIT 50")
+@query(f"WITH {_MENTIONS} SELECT norm, count(*) AS mentions, count(DISTINCT doc_id) AS messages, max(doc_id) AS last_seen FROM m WHERE contains(norm, 'mail2') GROUP BY 1 ORDER BY messages DESC, mentions DESC, last_seen DESC, norm LIMIT 50")
 def entity_search(spark, d):
-    m = _mentions(spark, d).filter(F.contains("norm", F.lit("mail7")))
+    m = _mentions(spark, d).filter(F.contains("norm", F.lit("mail2")))
     return m.groupBy("norm").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("doc_id").alias("messages"), F.max("doc_id").alias("last_seen")).orderBy(F.desc("messages"), F.desc("mentions"), F.desc("last_seen"), "norm").limit(50)
 
 
