@@ -89,6 +89,13 @@ def global_rank(df: DataFrame, group: list[str], order: list[Column], out: str,
     return a.join(b, cond).select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col(f"a.`{at}`") - F.col("b._first") + F.col("b._before")).alias(out))
 
 
+def few_rows(batches, rows: int = 256):
+    """The same rows in batches of at most so many, so that what Python makes of a batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def row_batches(batch, *names: str):
     """Python lists of the named columns of an Arrow batch."""
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm._common import row_batches
+from lettermill.llm._common import few_rows, row_batches
 
 # Seed words, in English, French, German and Spanish.
 INSULTS = "idiot moron stupid scum trash loser pathetic worthless disgusting clown imbecile dumbass crétin débile ordure connard trottel dummkopf abschaum imbécil estúpido basura".split()
@@ -189,7 +189,8 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text
     sizes = {r.toxic: r["count"] for r in rows.select("id").join(marks, "id").groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_docs / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, sample_docs / max(1, sizes.get(0, 0)))))
     place = F.crc32(F.concat(F.lit("tox-sample:"), F.col("id").cast("string"))) / F.lit(2.0**32)
-    chosen = marks.filter(place < share)
+    # About 2 * sample_docs ids, by the shares above, so they may be sent to all executors and no text is shuffled.
+    chosen = F.broadcast(marks.join(rows.select("id").distinct(), "id", "left_semi").filter(place < share))
     half = F.crc32(F.concat(F.lit("tox-half:"), F.col("id").cast("string"))) % 2
     return rows.join(chosen, "id").select("text", "toxic", half.cast("int").alias("half"))
 
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
     sample = _sample(docs, labels, train, id_col, text_col, label_col, sample_docs)
 
     def count(batches):
-        for batch in batches:
+        for batch in few_rows(batches, 4096):
             texts, toxic, half = row_batches(batch, "text", "toxic", "half")
             seen = {0: Counter(), 1: Counter()}
             n = Counter()
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
 
     def measure(batches):
         automaton, cache = grammar(), {}
-        for batch in batches:
+        for batch in few_rows(batches):
             texts, toxic, half = row_batches(batch, "text", "toxic", "half")
             rows = [(*model.features(t, automaton, cache), label) for t, label, h in zip(texts, toxic, half) if h == 1]
             yield pa.RecordBatch.from_arrays([pa.array([float(r[i]) for r in rows], pa.float64()) for i in range(4)], names=["a", "b", "c", "y"])
@@ -236,7 +237,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, id_cols: list[str]
 
     def run(batches):
         automaton, cache = grammar(), {}
-        for batch in batches:
+        for batch in few_rows(batches):
             (texts,) = row_batches(batch, "_text_")
             scores = [model.score(t, automaton, cache) for t in texts]
             own = [batch.column(batch.schema.get_field_index(c)) for c in id_cols]
