@@ -4,10 +4,9 @@ The rules find e-mail addresses, IP addresses, payment cards and phone numbers;
 trained in numpy, from a bounded sample of documents whose spans the rules have labelled, and from the same spans written
 in ways that the rules refuse (other separators, no leading plus). At work each text is cut into overlapping windows of a
 fixed length, counted from its start, so that equal texts give equal spans. All windows of all texts go through the
-network, many at once. A window whose emissions prove that the empty labelling is the best one is not decoded further;
-every other is decoded by Viterbi. The spans of all windows are put in the text's own positions and reconciled: of
-overlapping spans the one further from its window's edges stays, then the longer. What the network adds must not touch
-a base span and must pass its kind's check of form (digit counts, Luhn, parts up to 255).
+network, many at once, and each is decoded by Viterbi. The spans of all windows are put in the text's own positions and
+reconciled: of overlapping spans the one further from its window's edges stays, then the longer. What the network adds
+must not touch a base span and must pass its kind's check of form (digit counts, Luhn, parts up to 255).
 
 Defined results: null counts as empty; empty texts have no span. Texts are read whole, however long. A sample without
 any labelled span trains no network, and then the rules stand alone. Repeated rows get equal spans. Other columns are
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm._common import row_batches
+from lettermill.llm._common import few_rows, row_batches
 
 # The kinds in order, and the rules' patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -68,7 +67,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", b)
     if _DIGIT.search(text):
         if "." in text:
-            out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split(".") if len(p) < 20) and all(len(p) < 20 for p in m.group().split("."))]
+            out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m.group().split(".")))]
         out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
         if "+" in text:
             out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
@@ -93,6 +92,7 @@ def char_classes(text: str) -> np.ndarray:
 
 TAGS = 1 + 2 * len(KINDS)  #: outside, then begin and inside of each kind
 NEVER = -1e4
+SHUT = -60.0  #: what holds the input and forget gates shut, so that the state is zero, on EDGE
 
 
 def allowed() -> np.ndarray:
@@ -129,6 +129,7 @@ class Tagger:
         wx = [draw(4 * hidden, CLASSES) for _ in range(2)]
         for w in wx:
             w[hidden : 2 * hidden] += 1.0
+            w[: 2 * hidden, EDGE] = SHUT
         bias = np.zeros((TAGS, 1), np.float32)
         bias[0] = 2.0
         return cls(wx, [draw(4 * hidden, hidden) for _ in range(2)], draw(TAGS, 2 * hidden), bias, np.zeros((TAGS, TAGS), np.float32))
@@ -170,65 +171,81 @@ class Tagger:
         return out
 
     def decode(self, e: np.ndarray) -> np.ndarray:
-        """The best tags of each window: e [time, tags, windows] to [time, windows]."""
+        """The best tags of each window by Viterbi: e [time, tags, windows] to [time, windows]. As a span only begins
+        after an outside and only its own kind goes on, each tag has few tags before it, which are compared alone. Ties
+        go to the smaller tag."""
         steps, _, n = e.shape
-        a = self.trans + _ALLOWED
-        score = e[0].copy()
-        score[2::2] = NEVER
-        back = np.empty((steps, TAGS, n), np.int8)
+        kinds = len(KINDS)
+        b_at, i_at = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+        stay, begin = self.trans[0, 0], self.trans[0, b_at][:, None]
+        enter, go_on, leave = self.trans[b_at, i_at][:, None], self.trans[i_at, i_at][:, None], self.trans[i_at, 0][:, None]
+        out, b, i = e[0, 0].copy(), e[0, 1::2].copy(), np.full((kinds, n), NEVER, np.float32)
+        entered = np.zeros((steps, kinds, n), bool)
+        left = np.zeros((steps, n), np.int8)  # 0: outside before, else 1 and the kind that ended
         for t in range(1, steps):
-            all_ = score[:, None, :] + a[:, :, None]
-            back[t] = all_.argmax(axis=0)
-            score = all_.max(axis=0) + e[t]
-        score[1::2] = NEVER
-        tags = np.empty((steps, n), np.int8)
-        tags[-1] = score.argmax(axis=0)
+            closing = i + leave
+            ended = closing.max(axis=0)
+            outside = out + stay
+            some = ended > outside
+            if some.any():
+                left[t] = np.where(some, closing.argmax(axis=0) + 1, 0)
+            new, old = b + enter, i + go_on
+            np.greater_equal(new, old, out=entered[t])
+            np.maximum(new, old, out=i)
+            i += e[t, 2::2]
+            np.add(out + e[t, 1::2], begin, out=b)
+            np.maximum(outside, ended, out=out)
+            out += e[t, 0]
+        tags = np.zeros((steps, n), np.int8)
+        inside = i.max(axis=0) > out
+        tags[-1, inside] = i_at[i.argmax(axis=0)[inside]]
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t][tags[t], np.arange(n)]
+            now = tags[t]
+            on = np.flatnonzero((now > 0) | (left[t] > 0))
+            for w in on.tolist():
+                tag = int(now[w])
+                if tag == 0:
+                    tags[t - 1, w] = 2 * left[t, w]
+                elif tag % 2 == 0:
+                    tags[t - 1, w] = tag - 1 if entered[t, tag // 2 - 1, w] else tag
         return tags
 
-    def empty_is_best(self, e: np.ndarray) -> np.ndarray:
-        """For each window whether no labelling can beat the empty one: each tag's lead over outside, with the most that
-        a transition could add, is never positive."""
-        most = float((self.trans + _ALLOWED).max() - self.trans[0, 0])
-        return (e[:, 1:].max(axis=1) - e[:, 0]).max(axis=0) + max(0.0, most) <= 0
-
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its spans from all windows: kind, start, end and the distance to the nearer window edge."""
         step, size = self.window - self.overlap, self.window
         found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-        rows: list[np.ndarray] = []
-        place: list[tuple[int, int, int]] = []
+        rows: list[tuple[int, int, np.ndarray]] = []
+        held = 0
 
         def flush() -> None:
-            x = np.ascontiguousarray(np.stack(rows, axis=1))
-            e = self.emissions(x)
-            live = np.flatnonzero(~self.empty_is_best(e))
-            if len(live):
-                tags = self.decode(e[:, :, live])
-                for j, w in enumerate(live.tolist()):
-                    doc, start, length = place[w]
-                    on = np.flatnonzero(tags[:, j])
+            # Windows of about one length go together, so that little of a batch is padding; what a window gives does
+            # not depend on the padding after it, as EDGE leaves the network in its first state.
+            rows.sort(key=lambda r: -len(r[2]))
+            for i in range(0, len(rows), self.at_once):
+                batch = rows[i : i + self.at_once]
+                x = np.full((len(batch[0][2]), len(batch)), EDGE, np.uint8)
+                for j, (_, _, part) in enumerate(batch):
+                    x[: len(part), j] = part
+                tags = self.decode(self.emissions(x))
+                for j in np.flatnonzero(tags.any(axis=0)).tolist():
+                    doc, start, part = batch[j]
+                    on = np.flatnonzero(tags[: len(part), j])
                     if len(on):
                         for run in np.split(on, np.flatnonzero((np.diff(on) > 1) | (tags[on[1:], j] % 2 == 1)) + 1):
                             a, b = int(run[0]), int(run[-1]) + 1
-                            if b <= length:
-                                # The text's own ends are no cuts.
-                                left = a if start else size
-                                found[doc].append(((int(tags[a, j]) - 1) // 2, start + a, start + b, min(left, size - b)))
+                            # The text's own ends are no cuts.
+                            left = a if start else size
+                            found[doc].append(((int(tags[a, j]) - 1) // 2, start + a, start + b, min(left, size - b)))
             rows.clear()
-            place.clear()
 
         for doc, text in enumerate(texts):
             classes = char_classes(text)
             for start in range(0, max(1, len(classes) - self.overlap), step) if len(classes) else ():
-                row = np.full(size, EDGE, np.uint8)
-                part = classes[start : start + size]
-                row[: len(part)] = part
-                rows.append(row)
-                place.append((doc, start, len(part)))
-                if len(rows) == self.at_once:
+                rows.append((doc, start, classes[start : start + size]))
+                held += size
+                if held >= 1 << 25:
                     flush()
+                    held = 0
         if rows:
             flush()
         return found
@@ -420,6 +437,8 @@ def train(windows: list[tuple[bytes, bytes]], *, hidden: int = 8, steps: int = 3
             a += 0.1 * (g - a)
             v += 0.01 * (g * g - v)
             p -= (lr * (a / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        for w in model.wx:
+            w[: 2 * hidden, EDGE] = SHUT
     return model
 
 
@@ -431,7 +450,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(place < min(1.0, sample_docs / max(1, n))).filter(F.col("text").rlike("[0-9@]"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             (texts,) = row_batches(batch, "text")
             found = sorted({w for t in texts for w in examples(t, length)})
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["x", "y"])
@@ -460,7 +479,7 @@ def scan(docs: DataFrame, model: Tagger | None, *, id_cols: list[str], text_col:
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches, 2048):
             (texts,) = row_batches(batch, "_text_")
             out = find_spans(texts, model)
             own = [batch.column(batch.schema.get_field_index(c)) for c in id_cols]
