@@ -18,10 +18,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts, texts without a letter) go; a missing lang is filled in."""
-    model = language.fit(docs)
-    found = docs.select(*COLUMNS).withColumn("_found", language.language_column(model)(F.col("text")))
-    kept = found.filter(F.col("_found.lang_pred") != language.UND)
-    return kept.withColumn("lang", F.coalesce("lang", "_found.lang_pred")).select(*COLUMNS)
+    found = language.identify(docs, language.fit(docs), id_cols=COLUMNS)
+    kept = found.filter(F.col("lang_pred") != language.UND)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

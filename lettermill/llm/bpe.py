@@ -14,14 +14,14 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm._common import row_batches
+from lettermill.llm._common import few_rows, row_batches
 
 UNKNOWN = "<unk>"
 
@@ -75,7 +75,7 @@ def model_bytes(tokens: list[bytes]) -> bytes:
 class ByteBpe:
     """encode and decode whole texts. The ids of short pre-tokens are kept, at most cache_size of them."""
 
-    def __init__(self, path: str, pattern: str, cache_size: int = 300_000, cached_length: int = 48):
+    def __init__(self, path: str, pattern: str, cache_size: int = 200_000, cached_length: int = 48):
         import sentencepiece
 
         self.tokens = read_ranks(path)
@@ -128,18 +128,19 @@ def encode_documents(docs: DataFrame, *, id_cols: list[str], text_col: str = "te
 
     def run(batches):
         bpe = tokenizer(path, pattern)
-        for batch in batches:
+        for batch in few_rows(batches):
             (texts,) = row_batches(batch, "_text_")
             rows = []
             for text in texts:
                 own = bpe.encode(text)
                 said = hashlib.sha256(" ".join(map(bpe.decimal.__getitem__, own)).encode()).hexdigest() if digests else None
-                rows.append((len(own), own if ids else None, said, hashlib.sha256(bpe.decode(own)).hexdigest() if digests else None))
+                rows.append((len(own), pa.array(own, pa.int32()) if ids else None, said, hashlib.sha256(bpe.decode(own)).hexdigest() if digests else None))
             out = [batch.column(batch.schema.get_field_index(c)) for c in id_cols]
             out.append(pa.array([r[0] for r in rows], pa.int64()))
             names = [*id_cols, "n_tokens"]
             if ids:
-                out.append(pa.array([r[1] for r in rows], pa.list_(pa.int32())))
+                ends = list(accumulate((r[0] for r in rows), initial=0))
+                out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([r[1] for r in rows]) if rows else pa.array([], pa.int32())))
                 names.append("ids")
             if digests:
                 out += [pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())]

@@ -14,18 +14,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lettermill.llm._common import row_batches
+from lettermill.llm._common import few_rows, row_batches
 
 UND = "und"
+MOST_LANGS = 10_000  #: up to so many languages their counts are sent to all executors
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -50,7 +49,7 @@ class LanguageModel:
     longest: int = 5
     #: A score counts this many words' evidence at most, so that it stays a confidence and not the length of the text.
     evidence: int = 20
-    cache_size: int = 200_000
+    cache_size: int = 100_000
 
     @classmethod
     def from_counts(cls, counts: list[tuple[str, str, int]], longest: int = 5, gram_min: int = 3) -> LanguageModel:
@@ -115,7 +114,7 @@ class LanguageModel:
 
 
 def _count_words(batches):
-    for batch in batches:
+    for batch in few_rows(batches, 4096):
         langs, texts = row_batches(batch, "lang", "text")
         counts: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(langs, texts):
@@ -134,6 +133,8 @@ def fit(docs: DataFrame, train: F.Column | None = None, *, id_col: str = "doc_id
     rows = rows.filter(F.col("train") & F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).withColumn("share", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("docs")))
     place = F.coalesce(F.crc32(F.concat(F.lit("lang-sample:"), F.col("id").cast("string"))), F.lit(0)) / F.lit(2.0**32)
+    # One row for each language. Only where they are implausibly many are the texts dealt out by language instead.
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_LANGS else sizes
     sample = rows.join(sizes, "lang").filter(place < F.col("share")).select("lang", "text")
     counts = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
@@ -146,7 +147,7 @@ def predictor(model: LanguageModel, id_cols: list[str], text_col: str = "text"):
 
     def run(batches):
         cache: dict = {}
-        for batch in batches:
+        for batch in few_rows(batches):
             (texts,) = row_batches(batch, text_col)
             found = [model.predict(t, cache) for t in texts]
             own = [batch.column(batch.schema.get_field_index(c)) for c in id_cols]
@@ -156,19 +157,8 @@ def predictor(model: LanguageModel, id_cols: list[str], text_col: str = "text"):
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id_cols with lang_pred and score, one row for each input row. Each text is read whole."""
-    given = docs.select(*id_cols, F.col(text_col).alias("_text_"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    return given.mapInArrow(predictor(model, id_cols, "_text_"), f"{kinds}, lang_pred string, score double")
-
-
-def language_column(model: LanguageModel):
-    """A column function from texts to struct(lang_pred, score), for callers that keep whole rows."""
-
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict = {}
-        for texts in batches:
-            yield pd.DataFrame([model.predict(t, cache) for t in texts], columns=["lang_pred", "score"])
-
-    return predict
+    """id_cols (the text may be one of them) with lang_pred and score, one row for each input row. Texts are read whole."""
+    own = text_col if text_col in id_cols else "_text_"
+    given = docs.select(*id_cols) if own == text_col else docs.select(*id_cols, F.col(text_col).alias(own))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name != "_text_")
+    return given.mapInArrow(predictor(model, id_cols, own), f"{kinds}, lang_pred string, score double")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm._common import Written, row_batches
+from lettermill.llm._common import Written, few_rows, row_batches
 from lettermill.llm.graph import components
 
 BITS, BYTES = 64, 8
@@ -126,7 +126,7 @@ def fingerprints(docs: DataFrame, *, id_cols: list[str], text_col: str = "text",
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
 
     def run(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             (texts,) = row_batches(batch, "_text_")
             fps = text_fingerprints(texts, words, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in id_cols), pa.array(fps)], names=[*id_cols, "fp"])
