@@ -1,8 +1,8 @@
 """Even shards with few cut links, by balanced label propagation in Spark joins; DataFrame operations only.
 
-Documents with equal texts are linked: each to a hub, and hubs of a large group to the group's first, so links grow with
-the documents and not with the pairs. A hub has about `chunk` documents, so a group that no shard can hold falls into
-pieces that fit. Labels (shards) begin at a hash of the row. In turns, spokes and hubs move to the shard with the most
+Documents with equal texts are linked: each to a hub of about `chunk` documents, and hubs to the group's first, so links
+grow with the documents and not with the pairs. A group that no shard can hold falls into pieces that fill a shard, and a
+rest; all others stay linked as one. Labels (shards) begin at a hash of the row. In turns, spokes and hubs move to the shard with the most
 of their neighbours, as far as the shards' quotas have room: where more want to enter than fit, whole hubs' worth of
 them are let in by a hash. This repeats until nobody moves. Unlinked documents have no edges to cut, so they are placed
 last, into the room that is left, which makes the counts of shards equal to within one.
@@ -21,15 +21,24 @@ def _fraction(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def copy_links(nodes: DataFrame, *, group_col: str, chunk: int = 256) -> DataFrame:
-    """nodes: node (long, unique) and group_col. Returns a, b, w: spokes to hubs (w 1) and hubs to their group's first
-    (w 1). Nodes alone in their group have no link."""
-    groups = nodes.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-    placed = nodes.join(groups, group_col).withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(chunk))))
-    hubs = placed.groupBy(group_col, "chunk").agg(F.min("node").alias("hub"))
-    spokes = placed.join(hubs, [group_col, "chunk"]).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    tops = hubs.join(groups, group_col).filter("hub <> first").select(F.col("hub").alias("a"), F.col("first").alias("b"))
-    return spokes.union(tops).withColumn("w", F.lit(1.0))
+def copy_links(nodes: DataFrame, *, group_col: str, most: int, chunk: int = 256) -> DataFrame:
+    """nodes: node (long, unique) and group_col. Returns a, b, w: spokes to hubs (w 1) and hubs to their piece's first (w
+    the documents of the hub, so that they outvote its spokes). Only a group of more than `most` is cut into pieces, of
+    `most` each and a rest, without links between them. Nodes alone in their group or piece have no link."""
+    large = nodes.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(group_col)
+    # Each holds more than `most`, about a shard's rows, so they are hardly more than the shards.
+    large = F.broadcast(Written(large, "large").df)
+    cut = global_rank(nodes.join(large, group_col), [group_col], [F.col("node")], "at")
+    cut = cut.select("node", group_col, F.floor(F.col("at") / most).cast("long").alias("piece"))
+    whole = nodes.join(large, group_col, "left_anti").select("node", group_col, F.lit(0).cast("long").alias("piece"))
+    nodes = Written(whole.union(cut), "pieces").df
+    piece = [group_col, "piece"]
+    pieces = nodes.groupBy(piece).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+    placed = nodes.join(pieces, piece).withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(chunk))))
+    hubs = placed.groupBy(*piece, "chunk").agg(F.min("node").alias("hub"), F.count(F.lit(1)).cast("double").alias("w"))
+    spokes = placed.join(hubs.drop("w"), [*piece, "chunk"]).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.lit(1.0).alias("w"))
+    tops = hubs.join(pieces, piece).filter("hub <> first").select(F.col("hub").alias("a"), F.col("first").alias("b"), "w")
+    return spokes.union(tops)
 
 
 def quotas(n: int, shards: int) -> list[int]:
@@ -86,7 +95,7 @@ def shard_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("text_key"), F.monotonically_increasing_id().alias("node"))
     rows = Written(rows, "rows").df
     quota = quotas(rows.count(), shards)
-    links = copy_links(rows.select("node", "text_key"), group_col="text_key", chunk=chunk)
+    links = copy_links(rows.select("node", "text_key"), group_col="text_key", most=max(1, min(quota)), chunk=chunk)
     labels = propagate(links, quota, rounds=rounds)
     ranked = Written(global_rank(labels, ["shard"], [F.col("hub"), F.col("node")], "slot"), "linked").df
     limit = F.element_at(F.array(*map(F.lit, quota)), F.col("shard") + 1)

@@ -3,6 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lettermill.llm import sharding
+from lettermill.llm.graph import components
 from lettermill.llm.queries import op5_sharding
 
 
@@ -38,3 +39,12 @@ def test_hot_group_is_cut_into_few_shards(spark):
 def test_odd_rows(odd, none_at_all):
     check(sharding.shard_rows(odd, shards=4).collect(), odd.count(), 4)
     assert sharding.shard_rows(none_at_all).count() == 0
+
+
+def test_only_groups_beyond_a_shard_are_cut(spark):
+    nodes = spark.range(3000).select(F.col("id").alias("node"), F.when(F.col("id") < 900, "fits").when(F.col("id") < 2950, "large").otherwise(F.col("id").cast("string")).alias("g"))
+    links = sharding.copy_links(nodes, group_col="g", most=1000, chunk=50)
+    whole = Counter(Counter(r.root for r in components(links).collect()).values())
+    assert whole == Counter({900: 1, 1000: 2, 50: 1})
+    spokes = Counter(r.b for r in links.filter("w = 1").collect())
+    assert all(r.w > spokes[r.a] for r in links.filter("w > 1").collect())
