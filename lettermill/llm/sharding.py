@@ -2,25 +2,22 @@
 
 Documents with equal texts are linked: each to a hub of about `chunk` documents, and hubs to the group's first, so links
 grow with the documents and not with the pairs. A group that no shard can hold falls into pieces that fill a shard, and a
-rest; all others stay linked as one. Labels (shards) begin at a hash of the row. In turns, spokes and hubs move to the shard with the most
-of their neighbours, as far as the shards' quotas have room: where more want to enter than fit, whole hubs' worth of
-them are let in by a hash. This repeats until nobody moves. Unlinked documents have no edges to cut, so they are placed
-last, into the room that is left, which makes the counts of shards equal to within one.
+rest; all others stay linked as one. Labels begin as the document itself. In each turn every document takes the label with
+the most votes among its neighbours, if that is smaller than its own. Labels only fall, so this repeats until nobody
+moves, and no label gathers more than a shard can hold. Then labels are given to shards by size, the largest first, each
+whole to the first shard that has room for it. Only what finds no such shard is split, over those with the most room.
+Unlinked documents have no edges to cut, so they are placed last, into the room that is left, which makes the counts of
+shards equal to within one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.llm._common import Written, global_rank
 
 
-def _fraction(*cols: Column | str) -> Column:
-    """A hash of the columns in [0, 1)."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-
 def copy_links(nodes: DataFrame, *, group_col: str, most: int, chunk: int = 256) -> DataFrame:
     """nodes: node (long, unique) and group_col. Returns a, b, w: spokes to hubs (w 1) and hubs to their piece's first (w
     the documents of the hub, so that they outvote its spokes). Only a group of more than `most` is cut into pieces, of
@@ -45,42 +42,43 @@ def quotas(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
-def propagate(edges: DataFrame, quota: list[int], *, rounds: int = 8) -> DataFrame:
-    """edges: a, b, w over nodes (long). Returns node, hub (the smallest neighbour or itself: what stays together first)
-    and shard for every node that has an edge. The counts of shards are within quota but for what hashes let in."""
-    shards = len(quota)
-    both = Written(edges.select("a", "b", "w").union(edges.select("b", "a", "w")), "links").df
-    nodes = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("hub"))
-    nodes = nodes.withColumn("spoke", F.col("hub") != F.col("node"))
-    labels = Written(nodes.withColumn("shard", F.pmod(F.xxhash64("node", F.lit(11)), F.lit(shards)).cast("int")), "labels")
-    quiet = 0
-    for turn in range(rounds):
-        near = labels.df.select(F.col("node").alias("b"), F.col("shard").alias("to"))
-        votes = both.join(near, "b").groupBy("a", "to").agg(F.sum("w").alias("votes"))
-        best = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("to")).alias("to"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("to", "votes"))).alias("by"))
-        # by holds at most one entry for each shard
-        moving = labels.df.filter(F.col("spoke") == (turn % 2 == 0)).join(best, F.col("node") == F.col("a"))
-        gain = F.col("best.votes") - F.coalesce(F.element_at("by", F.col("shard")), F.lit(0.0))
-        wants = Written(moving.filter(gain > 0).select("node", "hub", (-F.col("best.to")).alias("to")), "moves")
-        # One row for each shard, and so a bounded collection.
-        asked = dict(wants.df.groupBy("to").count().collect())
-        if not asked:
-            wants.drop()
-            quiet += 1
-            if quiet == 2:
-                break
-            continue
-        quiet = 0
-        held = dict(labels.df.groupBy("shard").count().collect())
-        open_ = [max(0.0, min(1.0, (quota[s] - held.get(s, 0)) / asked[s])) if s in asked else 0.0 for s in range(shards)]
-        share = F.element_at(F.array(*map(F.lit, open_)), F.col("to") + 1)
-        let = wants.df.filter(_fraction("hub", F.lit(turn)) < share).select(F.col("node").alias("mover"), "to")
-        new = labels.df.join(let, F.col("node") == F.col("mover"), "left").select("node", "hub", "spoke", F.coalesce("to", "shard").alias("shard"))
-        new = Written(new, "labels")
+def propagate(edges: DataFrame, *, rounds: int = 8) -> DataFrame:
+    """edges: a, b, w over nodes (long). Returns node and hub (the label: the document that it gathers around) for every
+    node that an edge names. The hubs of copy_links settle in four turns; edges that have not after `rounds` raise."""
+    both = Written(edges.select("a", "b", "w").union(edges.select("b", "a", "w")), "links")
+    labels = Written(both.df.select(F.col("a").alias("node")).distinct().withColumn("hub", F.col("node")), "labels")
+    for _ in range(rounds):
+        near = labels.df.select(F.col("node").alias("b"), F.col("hub").alias("to"))
+        votes = both.df.join(near, "b").groupBy("a", "to").agg(F.sum("w").alias("votes"))
+        best = votes.groupBy("a").agg(F.max(F.struct("votes", (-F.col("to")).alias("to"))).alias("best"))
+        step = labels.df.join(best, F.col("node") == F.col("a")).select("node", F.col("hub").alias("old"), F.least("hub", -F.col("best.to")).alias("hub"))
+        new = Written(step, "labels")
+        moved = new.df.filter("old <> hub").limit(1).count()
         labels.drop()
-        wants.drop()
         labels = new
-    return labels.df.select("node", "hub", "shard")
+        if not moved:
+            break
+    else:
+        raise RuntimeError(f"propagation did not settle in {rounds} rounds")
+    both.drop()
+    return labels.df.select("node", "hub")
+
+
+def pack(sizes: dict[int, int], quota: list[int]) -> list[tuple[int, list[int], list[int]]]:
+    """sizes: how many labels have so many documents. First fit, the largest first: for each size the shards that take
+    labels of it, and up to which of them (counted from 0) each does. Labels beyond the last fit no shard whole."""
+    room = list(quota)
+    plan = []
+    for size in sorted(sizes, reverse=True):
+        left, upto, to = sizes[size], [], []
+        for s in range(len(room)):
+            if n := min(left, room[s] // size):
+                room[s] -= n * size
+                left -= n
+                upto.append(sizes[size] - left)
+                to.append(s)
+        plan.append((size, upto, to))
+    return plan
 
 
 def shard_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, chunk: int = 256, rounds: int = 8, overhead: int = 16) -> DataFrame:
@@ -96,20 +94,27 @@ def shard_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = Written(rows, "rows").df
     quota = quotas(rows.count(), shards)
     links = copy_links(rows.select("node", "text_key"), group_col="text_key", most=max(1, min(quota)), chunk=chunk)
-    labels = propagate(links, quota, rounds=rounds)
-    ranked = Written(global_rank(labels, ["shard"], [F.col("hub"), F.col("node")], "slot"), "linked").df
-    limit = F.element_at(F.array(*map(F.lit, quota)), F.col("shard") + 1)
-    kept = ranked.filter(F.col("slot") < limit).select("node", "shard", "slot")
+    labels = propagate(links, rounds=rounds)
+    units = Written(labels.groupBy("hub").agg(F.count(F.lit(1)).alias("of")), "units").df
+    # One row for each size. Sizes add up to no more than the rows, so there are at most sqrt(2 rows) different ones.
+    plan = docs.sparkSession.createDataFrame(pack(dict(units.groupBy("of").count().collect()), quota), "of long, upto array<long>, to array<int>")
+    units = global_rank(units, ["of"], [F.col("hub")], "nth").join(F.broadcast(plan), "of")
+    units = units.select("hub", "of", F.get("to", F.size(F.filter("upto", lambda u: u <= F.col("nth")))).alias("shard"))
+    linked = Written(labels.join(units, "hub"), "linked").df
+    kept = global_rank(linked.filter("shard IS NOT NULL").select("node", "hub", "shard"), ["shard"], [F.col("hub"), F.col("node")], "slot").select("node", "shard", "slot")
     kept = Written(kept, "kept").df
     held = dict(kept.groupBy("shard").count().collect())  # one row for each shard
     room = [q - held.get(s, 0) for s, q in enumerate(quota)]
-    upto = [sum(room[: s + 1]) for s in range(shards)]
-    order = ranked.select(F.col("node").alias("n2"), "hub")
-    rest = rows.select("node").join(kept.select("node"), "node", "left_anti").join(order, F.col("node") == F.col("n2"), "left").select("node", F.coalesce("hub", "node").alias("hub"))
-    rest = global_rank(rest, [], [F.col("hub"), F.col("node")], "place")
+    # Labels that fit nowhere come first, the largest into the shards with the most room.
+    open_ = sorted(range(shards), key=lambda s: (-room[s], s))
+    upto = [sum(room[s] for s in open_[: i + 1]) for i in range(shards)]
+    split = linked.filter("shard IS NULL").select("node", "hub", "of")
+    lone = rows.select("node").join(linked.select("node"), "node", "left_anti").select("node", F.col("node").alias("hub"), F.lit(1).cast("long").alias("of"))
+    rest = global_rank(split.union(lone), [], [F.desc("of"), F.col("hub"), F.col("node")], "place")
     at = F.size(F.filter(F.array(*map(F.lit, upto)), lambda u: u <= F.col("place")))
-    base = F.element_at(F.array(*(F.lit(held.get(s, 0) - (upto[s] - room[s])) for s in range(shards))), at + 1)
-    filled = rest.select("node", at.cast("int").alias("shard"), (F.col("place") + base).cast("long").alias("slot"))
+    shard = F.element_at(F.array(*map(F.lit, open_)), at + 1)
+    base = F.element_at(F.array(*(F.lit(held.get(s, 0) - (upto[i] - room[s])) for i, s in enumerate(open_))), at + 1)
+    filled = rest.select("node", shard.cast("int").alias("shard"), (F.col("place") + base).cast("long").alias("slot"))
     placed = kept.union(filled)
     out = rows.join(placed, "node")
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

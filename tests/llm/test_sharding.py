@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lettermill.llm import sharding
@@ -48,3 +49,34 @@ def test_only_groups_beyond_a_shard_are_cut(spark):
     assert whole == Counter({900: 1, 1000: 2, 50: 1})
     spokes = Counter(r.b for r in links.filter("w = 1").collect())
     assert all(r.w > spokes[r.a] for r in links.filter("w > 1").collect())
+
+
+def held_by(rows, group):
+    found = {}
+    for r in rows:
+        found.setdefault(group(r.doc_id), set()).add(r.shard)
+    return found
+
+
+def test_groups_stay_whole_where_all_rows_have_copies(spark):
+    # 10 shards of 600: groups of 300 (more than a hub), 30, and 3, which fit without a rest.
+    group = lambda i: i // 300 if i < 3000 else 100 + i // 30 if i < 4500 else 1000 + i // 3
+    docs = spark.createDataFrame([(i, str(group(i))) for i in range(6000)], "doc_id long, text string")
+    rows = sharding.shard_rows(docs, shards=10).collect()
+    check(rows, 6000, 10)
+    assert all(len(s) == 1 for s in held_by(rows, group).values())
+
+
+def test_groups_beyond_a_shard_fall_into_the_fewest(spark):
+    group = lambda i: "large" if i < 2500 else i // 700 if i < 7000 else i
+    docs = spark.createDataFrame([(i, str(group(i))) for i in range(10000)], "doc_id long, text string")
+    rows = sharding.shard_rows(docs, shards=10).collect()
+    check(rows, 10000, 10)
+    found = held_by(rows, group)
+    assert len(found.pop("large")) == 3 and all(len(s) == 1 for s in found.values())
+
+
+def test_unsettled_raises(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(20)], "a long, b long, w double")
+    with pytest.raises(RuntimeError, match="settle"):
+        sharding.propagate(edges, rounds=2)
