@@ -50,6 +50,8 @@ class LanguageModel:
     #: A score counts this many words' evidence at most, so that it stays a confidence and not the length of the text.
     evidence: int = 20
     cache_size: int = 100_000
+    #: Longer words are scored whole like all others, but anew each time, so that the cache stays small.
+    cached_letters: int = 64
 
     @classmethod
     def from_counts(cls, counts: list[tuple[str, str, int]], longest: int = 5, gram_min: int = 3) -> LanguageModel:
@@ -83,11 +85,11 @@ class LanguageModel:
         """Log frequencies by language; None if not even a letter of the word is known."""
         if (v := self.words.get(word)) is not None:
             return v
-        padded = f" {word[:64]} "
+        padded = f" {word} "
         for m in range(min(self.longest, len(padded)), 0, -1):
             found = [v for i in range(len(padded) - m + 1) if (v := self.grams.get(padded[i : i + m])) is not None]
             if found:
-                return tuple(sum(x) / len(found) for x in zip(*found))
+                return tuple(sum(v[i] for v in found) / len(found) for i in range(len(self.langs)))
         return None
 
     def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
@@ -99,9 +101,11 @@ class LanguageModel:
         for word, c in Counter(words).items():
             v = cache.get(word, 0)
             if v == 0:
-                if len(cache) >= self.cache_size:
-                    cache.clear()
-                v = cache[word] = self.word_scores(word)
+                v = self.word_scores(word)
+                if len(word) <= self.cached_letters:
+                    if len(cache) >= self.cache_size:
+                        cache.clear()
+                    cache[word] = v
             n += c
             if v is not None:
                 for i in span:

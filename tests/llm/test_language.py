@@ -34,3 +34,12 @@ def test_odd_rows(odd, none_at_all):
 
 def test_not_letters():
     assert language.words_of("½ ² x2y ٣ _z_") == ["x", "y", "z"]
+
+
+def test_long_words_are_read_whole():
+    m = language.LanguageModel.from_counts([("a", "abcab", 50), ("b", "xyzxy", 50)], gram_min=1)
+    cache = {}
+    assert m.predict("abc" * 21 + "xyz" * 400, cache)[0] == "b" and not cache
+    # No word end is put behind the 64th letter.
+    m = language.LanguageModel.from_counts([("a", "aq", 50), ("b", "bz", 20)], gram_min=1)
+    assert m.word_scores("y" * 62 + "aq" + "y" * 9) == m.grams["aq"] != m.grams["aq "]
