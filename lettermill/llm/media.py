@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from lettermill.llm._common import few_rows, row_batches
 
 OCTETS, TEXT = "application/octet-stream", "text/plain"
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 # The magic numbers of the formats, with the distance from the object's start to the number.
 MAGIC = [
@@ -244,7 +246,8 @@ def sniff(b: bytes | None) -> tuple[str | None, list[Part]]:
         return found[0].kind, found
     if b and not found:
         try:
-            if not any(c < 32 and c not in (9, 10, 13) for c in b.decode("utf-8").encode()[:4096]) and b"\0" not in b:
+            b.decode("utf-8")
+            if not _CONTROL.search(b):
                 return TEXT, []
         except UnicodeDecodeError:
             pass

@@ -34,6 +34,14 @@ def test_types_and_lengths():
     assert media.sniff(b"plain words")[0] == media.TEXT and media.sniff(b"\x00\x01")[0] == media.OCTETS
 
 
+def test_control_characters_anywhere():
+    for at in (0, 4095, 4096, 9999):
+        for c in (b"\x00", b"\x01", b"\x0b", b"\x1f"):
+            assert media.sniff(b"a" * at + c + b"a" * 100)[0] == media.OCTETS, (at, c)
+    assert media.sniff(b"a\t\r\n" * 3000 + b"\x7f")[0] == media.TEXT
+    assert media.sniff(b"a" * 9999 + b"\xff")[0] == media.OCTETS
+
+
 def test_several_and_nested():
     both = b"--" + WHOLE["image/png"] + b"~~" + WHOLE["image/gif"]
     assert [p.kind for p in media.objects(both)] == ["image/png", "image/gif"]
