@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lettermill.llm._common import Written, row_batches
 
 NO_ID = np.iinfo(np.int64).max
-LIMIT = 1 << 60  #: scores beyond it, of components in the hundred millions, stand as it
+MOST = np.iinfo(np.int64).max  #: scores beyond what the result's long holds stand as it
 _BLOCK = "block long, rows int, dim int, ids binary, keys binary, data binary"
 
 
@@ -86,12 +86,13 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if most < 2**53:
         return (q @ c.T).astype(np.int64)
     whole = np.array([[int(x) for x in row] for row in q], object) @ np.array([[int(x) for x in row] for row in c], object).T
-    return np.clip(whole, -LIMIT, LIMIT).astype(np.int64)
+    return np.clip(whole, -int(MOST), int(MOST)).astype(np.int64)
 
 
 def _count(bins: int, k: int):
-    """Counts by bins of a width. Each query's range is [low, low + span); scores above it are of no interest here, as their
-    number is known, and those below cannot hold the k-th."""
+    """Counts by bins of a width. Each query's range is [low, low + span), without an end where span is null; scores above it
+    are of no interest here, as their number is known, and those below cannot hold the k-th. Distances from low are
+    unsigned, as they can be twice what a long holds."""
 
     def run(batches):
         for batch in batches:
@@ -101,10 +102,9 @@ def _count(bins: int, k: int):
                 s = _scores(q, c)
                 own = np.frombuffer(r["q_keys"], "<i8")[:, None] == np.frombuffer(r["c_keys"], "<i8")[None, :]
                 low = np.frombuffer(r["low"], "<i8") if r["low"] is not None else np.full(len(q), r["first_low"])
-                at = s - low[:, None]
-                above, below = at >= r["span"], at < 0
-                at //= r["width"]
-                at = np.where(above | below | own, bins, at) + np.arange(len(q))[:, None] * (bins + 1)
+                at, below = s.astype("<u8") - low.astype("<u8")[:, None], s < low[:, None]
+                above = ~below & (at >= np.uint64(r["span"])) if r["span"] is not None else np.zeros_like(below)
+                at = np.where(above | below | own, bins, (at // np.uint64(r["width"])).astype(np.int64)) + np.arange(len(q))[:, None] * (bins + 1)
                 counts = np.bincount(at.ravel(), minlength=len(q) * (bins + 1)).reshape(len(q), bins + 1)[:, :bins]
                 higher = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts + (above & ~own).sum(axis=1)[:, None]
                 row, bin_ = np.nonzero((counts > 0) & (higher < k))
@@ -147,7 +147,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
 
     Defined results: vectors that are null, or hold null or non-finite components, take no part. Vectors of different
     lengths are scored as if the shorter ended in zeros. Empty vectors score 0. Repeated rows are rows of their own, each
-    the other's candidate. A null id is no query (unless is_query says so) and ranks after all ids. An empty table gives
+    the other's candidate. Scores are exact as far as a long holds them. bins is 3 or more. A null id is no query (unless is_query says so) and ranks after all ids. An empty table gives
     an empty table. Other columns are ignored. Memory is bounded by a pair of blocks.
     """
     spark = vectors.sparkSession
@@ -169,13 +169,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.pow(F.floor(x.cast("double") * 64), 2)))
     ok = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     top = base.filter(F.col("vec").isNotNull() & ok).agg(F.max(F.when(F.col("asks"), norm(F.col("vec")))).alias("q"), F.max(norm(F.col("vec"))).alias("c")).first()
-    bound = min(int((top.q or 0.0) * (top.c or 0.0) * (1 + 1e-9)) + 1, LIMIT)
+    reach = (top.q or 0.0) * (top.c or 0.0) * (1 + 1e-9)
+    bound = int(reach) + 1 if reach < 2.0**62 else int(MOST)
     low = -bound
     width = -(-(2 * bound + 1) // bins)
-    span = width * bins
+    span = None
     state = None  # query, q_block, row, low, above: where the k-th score lies, and how many are higher
+    wide = lambda x: x.cast("decimal(20,0)")
     while True:
-        given = cells.withColumn("first_low", F.lit(low)).withColumn("width", F.lit(width)).withColumn("span", F.lit(span))
+        given = cells.withColumn("first_low", F.lit(low)).withColumn("width", F.lit(width)).withColumn("span", F.lit(span).cast("long"))
         if state is None:
             given = given.withColumn("low", F.lit(None).cast("binary"))
         else:
@@ -190,7 +192,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
         ranked = counts.withColumn("upto", F.sum("n").over(down) + F.col("above"))
         # The bin where the count reaches k; the lowest bin with any score, if it never does.
         reach = ranked.groupBy("query", "q_block", "row").agg(F.coalesce(F.max(F.when(F.col("upto") >= k, F.struct("bin", (F.col("upto") - F.col("n")).alias("above"), "from"))), F.min(F.struct("bin", (F.col("upto") - F.col("n")).alias("above"), "from"))).alias("at"))
-        state = Written(reach.select("query", "q_block", "row", (F.col("at.from") + F.col("at.bin") * width).alias("low"), F.col("at.above").alias("above")), "state").df
+        state = Written(reach.select("query", "q_block", "row", (wide(F.col("at.from")) + wide(F.col("at.bin")) * wide(F.lit(width))).cast("long").alias("low"), F.col("at.above").alias("above")), "state").df
         if width == 1:
             break
         span, width = width, -(-width // bins)

@@ -37,3 +37,16 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2048)]
     assert topk.top_k(df.limit(0), F.lit(True)).count() == 0
     assert topk.top_k(df.filter("vec_id = 0"), F.lit(True)).count() == 0
+
+
+def test_scores_up_to_the_end_of_long(spark):
+    big = 2.0**25
+    rows = [(i, [big - i / 64, 0.25]) for i in range(60)] + [(i, [i / 64 - big, 0.5]) for i in range(60, 90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 70)
+    assert len({s for _, _, _, s in want if s > 1 << 60}) > 60
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=70, query_rows=3, candidate_rows=16, bins=16).collect()), key=str) == want
+    # Beyond what a long holds.
+    df = spark.createDataFrame([(0, [1e12]), (1, [2e12]), (2, [-1e12]), (3, [1e-2 * 2**25])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (3, 2**63 - 1), (2, 1 - 2**63)]
