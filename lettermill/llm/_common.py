@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +20,12 @@ _WRITTEN: dict[str, SparkSession] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. It is the session's spark.checkpoint.dir; only where that
-    is unset, as in local tests, a temporary folder is made and set."""
+    is unset on a local master, as in tests, a temporary folder is made and set. On a cluster an unset folder raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and the executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="lettermill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -61,6 +67,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return Written(df, name).df
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Drops at its end the tables written within it, but for those whose paths are put into the list that it gives."""
+    before, keep = set(_WRITTEN), []
+    yield keep
+    for path, spark in list(_WRITTEN.items()):
+        if path not in before and path not in keep:
+            drop_table(spark, path)
+
+
+def join_by_key(rows: DataFrame, per_key: DataFrame, keys: list[str], n: str, total: int, most: int = 1024) -> DataFrame:
+    """rows with what per_key says of their key: an inner join where null equals null. per_key has one row for each key,
+    and in its column n, which is left out, how many of the `total` rows have that key (or more).
+
+    A hot key needs no luck of the planner: keys of more than total / most rows, of which there are fewer than `most`,
+    are broadcast, so their rows stay where they are; the others are dealt out by key, each with few rows. As both inputs
+    are read more than once they should be written tables."""
+    names = [f"_key_{i}" for i in range(len(keys))]
+    given = per_key.select(*(F.col(k).alias(x) for k, x in zip(keys, names)), *(c for c in per_key.columns if c not in keys))
+    hot, rest = (F.broadcast(given.filter(F.col(n) > total // most)), given.filter(F.col(n) <= total // most))
+    same = [F.col(k).eqNullSafe(F.col(x)) for k, x in zip(keys, names)]
+    cond = functools.reduce(Column.__and__, same)
+    few = rows.join(hot, cond).drop(n, *names)
+    return few.unionByName(rows.join(hot.select(*names), cond, "left_anti").join(rest, cond).drop(n, *names))
+
+
 def global_rank(df: DataFrame, group: list[str], order: list[Column], out: str, partitions: int | None = None) -> DataFrame:
     """Adds out, the 0-based rank of each row within group by order, with no task that holds a whole group.
 
@@ -90,10 +122,22 @@ def global_rank(df: DataFrame, group: list[str], order: list[Column], out: str,
 
 
 def few_rows(batches, rows: int = 256):
-    """The same rows in batches of at most so many, so that what Python makes of a batch stays small."""
+    """The same rows in batches of at most so many, so that what Python makes of a batch stays small. At the end of the
+    rows the worker, which waits for its next task, gives back the memory that it no longer uses."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    give_back()
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's keeps it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def row_batches(batch, *names: str):

@@ -3,9 +3,9 @@
 Fingerprints with at most 3 differing bits differ in at most 3 bytes, so they share at least 5 of 8 positional bytes.
 Equal fingerprints are first put together, so that groups of copies count once. Each distinct fingerprint is then posted
 under compound keys of positional bytes. The keys are chosen so that any 5 shared positions contain one of them
-(positions in two halves of four, all triples of each half: a set of 5 positions has 3 in one half). Pairs that meet in
-a posting list are tallied by the positional bytes that they share; those with fewer than 5 go, the rest are verified by
-their differing bits.
+(positions in two halves of four, all triples of each half: a set of 5 positions has 3 in one half). Where two meet in a
+posting list, the positional bytes that they share are tallied, all eight; pairs with fewer than 5 are not retained, the
+rest are verified by their differing bits.
 
 A posting list that is long because one text has very many near copies would give pairs by the square of its length.
 Such lists are not paired: their members are linked exactly, in linear work, by what lies between them. Two fingerprints
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm._common import Written, few_rows, row_batches
+from lettermill.llm._common import Written, few_rows, give_back, join_by_key, row_batches
 from lettermill.llm.graph import components
 
 BITS, BYTES = 64, 8
@@ -147,46 +147,69 @@ def _mask(positions: tuple[int, ...]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _between(fps: DataFrame) -> DataFrame:
-    """a, b: links among the members of long posting lists (column fp), by what lies between them, for distance 3."""
+def _near(fps: DataFrame, bits: int) -> DataFrame:
+    """v, fp: for each of fps (column fp) the values at most so many bits from it, itself among them."""
+    flips = [0, *(1 << i for i in range(BITS)), *((1 << i) | (1 << j) for i in range(BITS) for j in range(i))]
+    flips = np.array(flips[: 1 + BITS * bits if bits < 2 else None], np.uint64)
 
-    def near(batches):
-        one = np.array([0, *(1 << i for i in range(BITS))], np.uint64)
-        two = np.array([(1 << i) | (1 << j) for i in range(BITS) for j in range(i)], np.uint64)
+    def run(batches):
         for batch in batches:
             own = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
             for i in range(0, len(own), 128):
                 part = own[i : i + 128]
-                v = np.concatenate([(part[:, None] ^ one).ravel(), (part[:, None] ^ two).ravel()])
-                who = np.concatenate([np.repeat(part, len(one)), np.repeat(part, len(two))])
-                close = np.arange(len(v)) < len(part) * len(one)
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(who.view(np.int64)), pa.array(close)], names=["v", "fp", "close"])
+                v, who = (part[:, None] ^ flips).ravel(), np.repeat(part, len(flips))
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(who.view(np.int64))], names=["v", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "v long, fp long")
+
+
+def _between(fps: DataFrame) -> DataFrame:
+    """a, b: links among the members of long posting lists (column fp), by what lies between them, for distance 3."""
+    hubs = _near(fps, 1).groupBy("v").agg(F.min("fp").alias("hub"))
+    return _near(fps, 2).join(hubs, "v").filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def posting_keys(distance: int = 3) -> list:
+    """The compound keys of column fp: which positions, and their bytes."""
+    return [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("bytes")) for i, p in enumerate(key_positions(distance))]
+
 
-    seen = fps.select("fp").mapInArrow(near, "v long, fp long, close boolean")
-    # Most values lie near a single member; the aggregate leaves those, and all far from any, before the join back.
-    hubs = seen.groupBy("v").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("n")).filter("hub IS NOT NULL AND n > 1").select("v", "hub")
-    return seen.join(hubs, "v").filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+def tallied(postings: DataFrame) -> DataFrame:
+    """a, b, shared: for every pair that meets in a posting list (part, bytes, fp) how many of the eight positional bytes
+    they share. A pair that meets in several lists is there as often."""
+    a, b = postings.alias("a"), postings.alias("b")
+    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    shared = sum((F.when(differ.bitwiseAND(F.lit(_mask((p,)))) == 0, 1).otherwise(0) for p in range(BYTES)), F.lit(0))
+    met = a.join(b, F.expr("a.part = b.part AND a.bytes = b.bytes AND a.fp < b.fp"))
+    return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), shared.alias("shared"))
 
 
-def links(fps: DataFrame, *, distance: int = 3, long_list: int = 1024) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp, each once) that lead to the exact components. Pairs from
-    posting lists of up to long_list members are all the pairs within the distance; longer lists give enough links to
-    connect what is connected."""
+def links(fps: DataFrame, *, distance: int = 3, long_list: int = 1024) -> Written:
+    """The table of a, b: links between distinct fingerprints (column fp, each once; a written table) that lead to the
+    exact components. Pairs from posting lists of up to long_list members are all the pairs within the distance; longer
+    lists give enough links to connect what is connected."""
     if distance != 3:
         raise ValueError("the keys and the linear path are laid out for a distance of 3")
-    need = BYTES - distance
-    keys = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(p))).alias("bytes")) for i, p in enumerate(key_positions(distance))]
-    posted = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.part", "k.bytes")
+    posted = fps.select("fp", F.explode(F.array(*posting_keys(distance))).alias("k")).select("fp", "k.part", "k.bytes")
     lists = Written(posted.groupBy("part", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "postings")
-    kept = posted.join(lists.df, ["part", "bytes"])
-    short = Written(kept.filter(F.col("n") <= long_list).select("part", "bytes", "fp"), "short")
-    a, b = short.df.alias("a"), short.df.alias("b")
-    differ = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    shared = sum((F.when(differ.bitwiseAND(F.lit(_mask((p,)))) == 0, 1).otherwise(0) for p in range(BYTES)), F.lit(0))
-    met = F.expr("a.part = b.part AND a.bytes = b.bytes AND a.fp < b.fp")
-    pairs = a.join(b, met & (shared >= need) & (F.bit_count(differ) <= distance)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    crowded = kept.filter(F.col("n") > long_list).select("fp").distinct()
-    return pairs.union(_between(crowded)).distinct()
+    size = F.col("n").alias("size")
+    total = lists.df.agg(F.sum("n")).first()[0] or 0
+    kept = Written(join_by_key(posted, lists.df.select("part", "bytes", "n", size), ["part", "bytes"], "n", total), "kept")
+    retained = tallied(kept.df.filter(F.col("size") <= long_list).select("part", "bytes", "fp")).filter(F.col("shared") >= BYTES - distance)
+    pairs = retained.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
+    crowded = kept.df.filter(F.col("size") > long_list).select("fp").distinct()
+    out = Written(pairs.union(_between(crowded)).distinct(), "links")
+    lists.drop(), kept.drop()
+    return out
+
+
+def _rooted(each: DataFrame, distance: int) -> Written:
+    """each: a written table with fp, each once. The same with root, the smallest fingerprint of its component."""
+    edges = links(each.select("fp"), distance=distance)
+    roots = components(edges.df)
+    out = Written(each.join(roots.df.select("node", F.col("root").alias("_root")), each.fp == F.col("node"), "left").select(*each.columns, F.coalesce("_root", "fp").alias("root")), "roots")
+    edges.drop(), roots.drop()
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
@@ -195,37 +218,43 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Defined results: null, empty and wordless texts have fingerprint zero and link like any others. Rows with a null id
     get a row too; they take part in links but never name a component, unless all its ids are null. Repeated rows are
-    each kept. An empty table gives an empty table. Other columns are ignored.
+    each kept. An empty table gives an empty table. Other columns are ignored. A fingerprint or a component with a large
+    part of all rows is split (join_by_key).
     """
     own = Written(fingerprints(docs.select(F.col(id_col).alias("_id_"), F.col(text_col).alias("_t_")), id_cols=["_id_"], text_col="_t_", words=words), "fingerprints")
-    each = Written(own.df.groupBy("fp").agg(F.min("_id_").alias("least")), "distinct")
-    roots = components(links(each.df, distance=distance))
-    placed = Written(each.df.join(roots, each.df.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    named = placed.df.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.df.join(named, "root").select("fp", "component_id")
-    return own.df.join(by_fp, "fp").select(F.col("_id_").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    each = Written(own.df.groupBy("fp").agg(F.min("_id_").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
+    totals = each.df.agg(F.count(F.lit(1)).alias("prints"), F.sum("n").alias("rows")).first()
+    placed = _rooted(each.df, distance)
+    named = Written(placed.df.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "named")
+    by_fp = Written(join_by_key(placed.df.select("fp", "n", "root"), named.df, ["root"], "members", totals.prints).select("fp", "n", "component_id"), "by-print")
+    for done in (each, placed, named):
+        done.drop()
+    out = join_by_key(own.df, by_fp.df, ["fp"], "n", totals.rows or 0)
+    return out.select(F.col("_id_").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
     """The documents without near copies of others: of each component the row with the smallest id stays, and of rows
-    that tie on it one by a hash of its columns. Null ids come last. Rows are whole, with their own columns only."""
-    own, fp, key = list(docs.columns), "_simhash_fp", "_simhash_row"
+    that tie on it the one with the smallest hash of its columns (but maps), then the first as stored. Null ids come
+    last. Rows are whole, with their own columns only, whatever they are called; an empty table gives an empty table.
+
+    The documents are written once with a number for each row; all that decides works on numbers, ids and fingerprints,
+    and one join by row number, which no two rows share, takes the documents that stay."""
+    own = docs.schema.fields
 
     @F.pandas_udf("long")
     def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(text_fingerprints(texts.tolist(), words).view(np.int64))
-
-    full = Written(docs.withColumn(fp, prints(F.col(text_col))).withColumn(key, F.xxhash64(*own)), "documents").df
-    narrow = full.select(F.col(fp).alias("fp"), F.col(id_col).alias("id"), F.col(key).alias("row"))
-    each = Written(narrow.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")), "distinct").df
-    roots = components(links(each.select("fp"), distance=distance))
-    named = each.join(roots, each.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("least", "fp")).alias("k"))
-    # One row for each component, with the fingerprint, id and hash of the row that stays.
-    stay = named.select(F.col("k.fp").alias("_s_fp"), F.col("k.least.id").alias("_s_id"), F.col("k.least.row").alias("_s_row"))
-    same = F.col(fp).eqNullSafe(F.col("_s_fp")) & F.col(id_col).eqNullSafe(F.col("_s_id")) & F.col(key).eqNullSafe(F.col("_s_row"))
-    kept = Written(full.join(stay, same, "left_semi"), "kept").df
-    # Rows equal in every column are all found above; only those, usually none, are shuffled to leave one of each.
-    again = kept.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-    single = kept.join(again, key, "left_anti").select(*own)
-    return single.unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]).select(*own))
+        give_back()
+
+    hashed = [F.col(f"`{f.name}`") for f in own if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    full = docs.select(F.struct(*(F.col(f"`{f.name}`") for f in own)).alias("doc"), prints(F.col(text_col)).alias("fp"), F.xxhash64(*hashed).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    full = Written(full, "documents").df
+    id_ = F.col("doc")[id_col]
+    each = Written(full.groupBy("fp").agg(F.min(F.struct(id_.isNull().alias("none"), id_.alias("id"), "hash", "row")).alias("least")), "distinct")
+    placed = _rooted(each.df, distance)
+    stay = Written(placed.df.groupBy("root").agg(F.min("least").alias("least")).select("least.row"), "stay")
+    each.drop(), placed.drop()
+    # The numbers of a partition are few bytes, so they are hashed and the documents need no sort.
+    return full.join(stay.df.hint("shuffle_hash"), "row").select("doc.*")
