@@ -83,6 +83,8 @@ class ByteBpe:
         # White space as Unicode defines it, which some engines' \s widens by four control characters.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"), regex.V0).findall
         self.decimal = [str(i) for i in range(len(self.tokens))]
+        #: One object for each id, which all that is kept of texts shares.
+        self.ids = list(range(len(self.tokens) + 1))
         self.cache: dict[str, tuple[int, ...]] = {}
         self.cache_size, self.cached_length = cache_size, cached_length
         self.chars = {b: c for b, c in enumerate(BYTE_CHAR)}
@@ -98,7 +100,7 @@ class ByteBpe:
             if len(cache) + len(missing) > self.cache_size:
                 cache.clear()
                 missing = list(set(pre))
-            fresh = dict(zip(missing, map(tuple, self._pieces(missing))))
+            fresh = {p: tuple(map(self.ids.__getitem__, found)) for p, found in zip(missing, self._pieces(missing))}
             table = cache | fresh if len(fresh) > self.cache_size else cache
             if table is cache:
                 cache.update(fresh)

@@ -15,6 +15,7 @@ ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm._common import few_rows, row_batches
+from lettermill.llm._common import few_rows, give_back, row_batches
 
 # The kinds in order, and the rules' patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -271,14 +272,21 @@ def reconcile(text: str, base: list[Span], found: list[tuple[int, int, int, int]
     """Base spans, and of the found ones those that are well formed, touch no base span and no better one."""
     if not found:
         return base
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[tuple[int, int]] = []  # in order and apart
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     out = list(base)
     for kind, a, b, _ in sorted(set(found), key=lambda s: (-s[3], s[1] - s[2], s)):
-        if well_formed(kind, text[a:b]) and all(b <= x or y <= a for x, y in taken):
+        at = bisect.bisect(taken, (a, a))
+        free = (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0])
+        if free and well_formed(kind, text[a:b]):
             # A piece of a longer run of digits is no number of its own.
             if kind and (text[max(0, a - 1) : a].isdigit() or text[b : b + 1].isdigit()):
                 continue
-            taken.append((a, b))
+            taken.insert(at, (a, b))
             out.append((kind, a, b))
     return sorted(out)
 
@@ -299,21 +307,23 @@ def variants(text: str, span: Span) -> str | None:
     return None
 
 
-def examples(text: str, length: int, most: int = 4) -> list[tuple[bytes, bytes]]:
-    """Windows of classes and tags from one text: around spans and their refused forms, and around digits or marks that
-    are in no span, and one from the middle. Where they lie follows from the text alone."""
+def examples(text: str, length: int, blanks: int = 2) -> list[tuple[bytes, bytes]]:
+    """Windows of classes and tags from one text: around all spans and their refused forms, around `blanks` evenly spaced
+    digits or marks that are in no span, and one from the middle. Where they lie follows from the text alone."""
     base = base_spans(text)
     out = []
 
     def cut(t: str, spans: list[Span], centre: int) -> None:
-        x, y = char_classes(t), np.zeros(len(t), np.uint8)
-        for k, a, b in spans:
-            y[a] = 1 + 2 * k
-            y[a + 1 : b] = 2 + 2 * k
         start = max(0, min(centre - length // 2 + int(hashlib.md5(t[max(0, centre - 9) : centre + 9].encode("utf-8", "replace")).hexdigest()[:4], 16) % 21 - 10, len(t) - length))
         row, tag = np.full(length, EDGE, np.uint8), np.zeros(length, np.uint8)
-        part = slice(start, start + length)
-        row[: len(x[part])], tag[: len(y[part])] = x[part], y[part]
+        part = char_classes(t[start : start + length])
+        row[: len(part)] = part
+        for k, a, b in spans:
+            if a < start + length and start < b:
+                a, b = a - start, b - start
+                tag[max(0, a) : min(b, length)] = 2 + 2 * k
+                if a >= 0:
+                    tag[a] = 1 + 2 * k
         # A span cut by the window's start is not one that begins there.
         first = 0
         while first < length and tag[first] and tag[first] % 2 == 0:
@@ -324,7 +334,7 @@ def examples(text: str, length: int, most: int = 4) -> list[tuple[bytes, bytes]]
             tag[-1] = 0
         out.append((row.tobytes(), tag.tobytes()))
 
-    for span in base[:most]:
+    for span in base:
         kind, a, b = span
         cut(text, base, (a + b) // 2)
         other = variants(text, span)
@@ -332,9 +342,12 @@ def examples(text: str, length: int, most: int = 4) -> list[tuple[bytes, bytes]]
             t = text[max(0, a - length) : a] + other + text[b : b + length]
             at = min(a, length)
             cut(t, [(kind, at, at + len(other))], at + len(other) // 2)
-    outside = [m.start() for m in re.finditer(r"[0-9@+(]", text) if not any(a <= m.start() < b for _, a, b in base)]
-    for i in outside[:: max(1, len(outside) // 2)][:2]:
-        cut(text, base, i)
+    inside = np.zeros(len(text) + 1, bool)
+    for _, a, b in base:
+        inside[a:b] = True
+    outside = [m.start() for m in re.finditer(r"[0-9@+(]", text) if not inside[m.start()]]
+    for i in range(min(blanks, len(outside))):
+        cut(text, base, outside[i * len(outside) // blanks if len(outside) > blanks else i])
     if text:
         cut(text, base, len(text) // 2)
     return out
@@ -442,9 +455,10 @@ def train(windows: list[tuple[bytes, bytes]], *, hidden: int = 8, steps: int = 3
     return model
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 3000, length: int = 64, **options) -> Tagger | None:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 3000, length: int = 64, blanks: int = 2, **options) -> Tagger | None:
     """Trains on windows from about sample_docs documents (the bound of the training sample), chosen by a hash of the
-    id among those with a digit or an @. None where the rules label nothing there."""
+    id among those with a digit or an @: of `length` characters, around all spans that the rules label there, and around
+    at most `blanks` places of each document that only look like some. None where the rules label nothing there."""
     n = docs.count()
     place = F.coalesce(F.crc32(F.concat(F.lit("pii-sample:"), F.col("id"))), F.lit(0)) / F.lit(2.0**32)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(place < min(1.0, sample_docs / max(1, n))).filter(F.col("text").rlike("[0-9@]"))
@@ -452,7 +466,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     def cut(batches):
         for batch in few_rows(batches):
             (texts,) = row_batches(batch, "text")
-            found = sorted({w for t in texts for w in examples(t, length)})
+            found = sorted({w for t in texts for w in examples(t, length, blanks)})
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["x", "y"])
 
     windows = sorted({(bytes(r.x), bytes(r.y)) for r in rows.select("text").mapInArrow(cut, "x binary, y binary").collect()})
@@ -490,21 +504,29 @@ def scan(docs: DataFrame, model: Tagger | None, *, id_cols: list[str], text_col:
     return given.mapInArrow(run, f"{kinds}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
 
 
-def masker(model: Tagger | None):
+def masked(text: str | None, spans: list[Span]) -> str | None:
+    """The text with `[KIND]` in place of each span; of spans that overlap the last to begin, then the longer one."""
+    if text is None:
+        return None
+    end, tail = len(text), []
+    for kind, a, b in sorted(spans, key=lambda s: (-s[1], -s[2])):
+        if b <= end:
+            tail += [text[b:end], f"[{KINDS[kind].upper()}]"]
+            end = a
+    return text[:end] + "".join(reversed(tail))
+
+
+def masker(model: Tagger | None, at_once: int = 2048):
     """A column function from texts to texts with `[KIND]` in place of each span; null stays null."""
 
     @F.pandas_udf("string")
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            given = texts.tolist()
             done = []
-            for text, (_, spans) in zip(given, find_spans(given, model)):
-                if text is not None:
-                    end = len(text) + 1
-                    for kind, a, b in sorted(spans, key=lambda s: (-s[1], -s[2])):
-                        if b <= end:
-                            text, end = f"{text[:a]}[{KINDS[kind].upper()}]{text[b:]}", a
-                done.append(text)
+            for i in range(0, len(texts), at_once):
+                given = texts[i : i + at_once].tolist()
+                done += [masked(text, spans) for text, (_, spans) in zip(given, find_spans(given, model))]
             yield pd.Series(done, dtype=object)
+        give_back()
 
     return mask
