@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm._common import few_rows, row_batches
+from lettermill.llm._common import Written, few_rows, row_batches
 
 # Seed words, in English, French, German and Spanish.
 INSULTS = "idiot moron stupid scum trash loser pathetic worthless disgusting clown imbecile dumbass crétin débile ordure connard trottel dummkopf abschaum imbécil estúpido basura".split()
@@ -195,8 +195,9 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text
     return rows.join(chosen, "id").select("text", "toxic", half.cast("int").alias("half"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 2000, terms: int = 5000) -> ToxicityModel:
-    """sample_docs bounds the labelled rows of each label that the classifier is fitted on, terms its learned lexicon."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_docs: int = 2000, least: int = 4, odds: float = 3.0) -> ToxicityModel:
+    """sample_docs bounds the labelled rows of each label that the classifier is fitted on. All terms of theirs that pass
+    least and odds (see lexicon) are learned."""
     sample = _sample(docs, labels, train, id_col, text_col, label_col, sample_docs)
 
     def count(batches):
@@ -212,10 +213,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["term", "toxic", "other"])
 
     counts = sample.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    top = counts.filter("toxic >= 4 AND (toxic > other OR term = '')").orderBy(F.desc(F.col("term") == ""), F.desc("toxic"), "term").limit(terms).collect()
+    counts = Written(counts, "terms")
+    totals = counts.df.filter("term = ''").select("toxic", "other").first() or (0, 0)
+    # The same bounds as the lexicon's, a little wider, so that only what it may keep comes to the driver.
+    apart = F.log((F.col("toxic") + 0.5) / (totals[0] + 1)) - F.log((F.col("other") + 0.5) / (totals[1] + 1))
+    top = counts.df.filter((F.col("term") != "") & (F.col("toxic") >= least) & (apart >= odds - 1e-6)).collect()
     model = ToxicityModel()
-    totals = next(((r.toxic, r.other) for r in top if r.term == ""), (0, 0))
-    model.words, model.stems = lexicon(((r.term, r.toxic, r.other) for r in top if r.term), *totals)
+    model.words, model.stems = lexicon(sorted((r.term, r.toxic, r.other) for r in top), *totals, least=least, odds=odds)
+    counts.drop()
 
     def measure(batches):
         automaton, cache = grammar(), {}
