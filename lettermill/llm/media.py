@@ -318,10 +318,20 @@ def carve(sniffed: DataFrame, *, id_cols: list[str], content_col: str = "content
     return each.select(*id_cols, F.col("_p.kind").alias("kind"), F.col("_p.start").alias("start"), F.col("_p.length").alias("length"), F.expr(f"substring({content_col}, cast(_p.start + 1 as int), cast(_p.length as int))").alias("content"))
 
 
+def said_parts(parts: list[Part]) -> str:
+    return ",".join(f"{p.kind}:{p.start}:{p.length}" for p in parts)
+
+
+def embedded(b: bytes) -> list[Part]:
+    """The objects inside the samples of a valid WAV, by their places in these."""
+    return objects(wav_samples(b))
+
+
 def stored_features(media: DataFrame, *, keep: list[str], content_col: str = "content", declared_col: str = "declared_type", unit: int = 64) -> DataFrame:
     """keep with what the stored bytes say when sniffed and read back: payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256 and feature, `true type|corrected or declared|parts|mean level|zero crossings|distinct
-    levels`. Content that is no WAV gives nulls for the payload."""
+    media_bytes, media_sha256, feature, `true type|corrected or declared|objects|mean level|zero crossings|distinct
+    levels`, and carved, `kind:start:length` of each object that the same search finds within the payload. Content that is
+    no WAV gives nulls for the payload, and its own objects in carved."""
     given = media.select(*keep, F.col(declared_col).alias("_declared_"), F.col(content_col).alias("_content_"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-2])
 
@@ -332,16 +342,16 @@ def stored_features(media: DataFrame, *, keep: list[str], content_col: str = "co
             for said, b in zip(declared, contents):
                 kind, parts = sniff(b)
                 if kind != "audio/wav" or parts:
-                    rows.append((None, None, None, None if b is None else len(b), None if b is None else hashlib.sha256(b).hexdigest(), f"{kind}|{len(parts)}"))
+                    rows.append((None, None, None, None if b is None else len(b), None if b is None else hashlib.sha256(b).hexdigest(), f"{kind}|{len(parts)}", said_parts(parts)))
                     continue
-                payload = wav_samples(b)
+                payload, inner = wav_samples(b), embedded(b)
                 level = np.frombuffer(payload, np.uint8)
                 up = level >= 128
-                feature = f"{kind}|{'corrected' if kind != said else 'declared'}|{len(parts)}|{int(level.sum(dtype=np.int64)) / len(level):.6f}|{int(np.count_nonzero(up[1:] != up[:-1]))}|{len(np.flatnonzero(np.bincount(level, minlength=256)))}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), len(b), hashlib.sha256(b).hexdigest(), feature))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                feature = f"{kind}|{'corrected' if kind != said else 'declared'}|{len(inner)}|{int(level.sum(dtype=np.int64)) / len(level):.6f}|{int(np.count_nonzero(up[1:] != up[:-1]))}|{len(np.flatnonzero(np.bincount(level, minlength=256)))}"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), len(b), hashlib.sha256(b).hexdigest(), feature, said_parts(inner)))
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             own = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(c), t) for c, t in zip(cols, types))], names=[*keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(c), t) for c, t in zip(cols, types))], names=[*keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "carved"])
 
-    return given.mapInArrow(run, f"{kinds}{', ' * bool(kinds)}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return given.mapInArrow(run, f"{kinds}{', ' * bool(kinds)}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, carved string")

@@ -1,3 +1,4 @@
+import re
 import gzip
 import hashlib
 import io
@@ -62,6 +63,21 @@ def test_text_round_trip(odd, none_at_all):
     assert media.store_text(none_at_all, id_cols=["doc_id"]).count() == 0
 
 
+def test_search_of_the_payload(spark):
+    """A text may hold a whole document of a text format; the query's path finds it in the samples read back."""
+    pdf = "%PDF-1.4\n1 0 obj\nstartxref\n9\n%%EOF\n"
+    texts = {1: "plain", 2: f"before {pdf}after", 3: pdf, 4: "BM GIF89a %PDF- fLaC PK only numbers", 5: f"{pdf} x {pdf}"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in media.stored_features(media.store_text(df, id_cols=["doc_id"]), keep=["doc_id"]).collect()}
+    for i, text in texts.items():
+        samples = media.padded(text)[0]
+        level = [abs(x) for x in samples]
+        want = [f"application/pdf:{m.start()}:{len(pdf)}" for m in re.finditer(re.escape(pdf), text)]
+        assert got[i].carved == ",".join(want)
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(samples, samples[1:]))
+        assert got[i].feature == f"audio/wav|corrected|{len(want)}|{sum(level) / len(level):.6f}|{crossings}|{len(set(samples))}"
+
+
 def test_carving(spark):
     df = spark.createDataFrame([(1, "image/png", bytearray(b"--" + GIF + b"--")), (2, None, None)], "id int, declared_type string, content binary")
     s = media.sniff_media(df, keep=["id", "content"])
