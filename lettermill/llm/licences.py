@@ -98,8 +98,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     """id_col, licence, containment (the best of its templates), matches (windows' worth of evidence: templates matched)
     and first_word (0-based word at which the first matching window starts): one row for each document and licence.
 
-    Defined results: null and empty texts, and those without a match, give no row. Rows with the same id are scanned
-    apart and reported together. An empty table, or no templates, gives an empty table. Other columns are ignored. The
+    Defined results: null and empty texts, and those without a match, give no row. Rows with the same id, or with none, are
+    scanned apart and reported together: what one of them holds is reported, whatever the others hold and in any order. An empty table, or no templates, gives an empty table. Other columns are ignored. The
     templates are a parameter, and as a list of texts in the program they are small; they alone are broadcast.
     """
     spark: SparkSession = docs.sparkSession
@@ -138,16 +138,19 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     )
     signed = _once(windows, "hashes", shingle_hashes(_shingle_array(F.col("inner"), SHINGLE)))
     signed = _once(signed, "sig", signature(F.col("hashes"), bands, rows)).select("id", "words", "start", "reach", "sig")
-    # The bands of the templates, a few numbers each, go into the filter, so only windows that meet one are dealt out.
+    # The bands of the templates, a few numbers each, go into the plan. A window that meets some becomes one row for each
+    # template met, however many bands agree, so rows stay where they are and need no key of their own.
+    met = [(r.i, r.band, r.template, r.words) for r in bands_of.collect()]
     by_band: dict[int, set[int]] = {}
-    for r in bands_of.select("i", "band").collect():
-        by_band.setdefault(r.i, set()).add(r.band)
+    for i, band, _, _ in met:
+        by_band.setdefault(i, set()).add(band)
     meets = F.lit(False)
     for i, values in sorted(by_band.items()):
         meets = meets | F.element_at("sig", i + 1).isin(sorted(values))
-    signed = signed.filter(meets).select("id", "words", "start", "reach", F.posexplode("sig").alias("i", "band"))
-    found = signed.join(F.broadcast(bands_of.withColumnRenamed("words", "t_words")), ["i", "band"]).filter(F.col("words") == F.col("t_words"))
-    found = found.dropDuplicates(["id", "words", "start", "template"])
+    known_bands = F.array(*(F.struct(F.lit(i + 1).alias("i"), F.lit(band).alias("band"), F.lit(t).alias("template"), F.lit(n).alias("n")) for i, band, t, n in sorted(met)))
+    agree = F.filter(known_bands, lambda x: (x["n"] == F.col("words")) & (F.element_at(F.col("sig"), x["i"]) == x["band"]))
+    signed = signed.filter(meets).select("id", "start", "reach", F.explode(F.array_distinct(F.transform(agree, lambda x: x["template"]))).alias("template"))
+    found = signed.join(F.broadcast(table), "template")
     # A template of fewer words than a shingle has is one short shingle, so the reach is cut alike for it.
     size = F.least(F.lit(SHINGLE), F.col("words"))
     reach = F.transform(F.sequence(F.lit(1), F.greatest(F.size("reach") - size + 1, F.lit(1))), lambda i: F.array_join(F.slice("reach", i, size), " "))

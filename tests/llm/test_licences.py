@@ -47,3 +47,15 @@ def test_odd_rows(odd, none_at_all):
     assert licences.scan(odd).count() == 0
     assert licences.scan(none_at_all).count() == 0
     assert licences.scan(odd, templates=[]).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """A full notice counts beside near misses under its id, in either order, and so it does under a null id."""
+    whole = dict(enumerate(t for _, t in licences.TEMPLATES))[1]
+    words = whole.split()
+    miss = " ".join([*words[:14], "other", "words", "stand", "in", "this", "place", *words[20:]])
+    for own in (7, None):
+        rows = [(own, miss)] * 6 + [(own, whole)]
+        for order in (rows, rows[::-1]):
+            got = [(r.doc_id, r.licence, r.containment) for r in licences.scan(spark.createDataFrame(order, "doc_id long, text string")).collect()]
+            assert (own, "Apache-2.0", 1.0) in got
