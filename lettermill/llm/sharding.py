@@ -15,26 +15,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm._common import Written, global_rank
+from lettermill.llm._common import Written, global_rank, join_by_key
 
 
 def copy_links(nodes: DataFrame, *, group_col: str, most: int, chunk: int = 256) -> DataFrame:
-    """nodes: node (long, unique) and group_col. Returns a, b, w: spokes to hubs (w 1) and hubs to their piece's first (w
-    the documents of the hub, so that they outvote its spokes). Only a group of more than `most` is cut into pieces, of
-    `most` each and a rest, without links between them. Nodes alone in their group or piece have no link."""
-    large = nodes.groupBy(group_col).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select(group_col)
-    # Each holds more than `most`, about a shard's rows, so they are hardly more than the shards.
-    large = F.broadcast(Written(large, "large").df)
-    cut = global_rank(nodes.join(large, group_col), [group_col], [F.col("node")], "at")
-    cut = cut.select("node", group_col, F.floor(F.col("at") / most).cast("long").alias("piece"))
-    whole = nodes.join(large, group_col, "left_anti").select("node", group_col, F.lit(0).cast("long").alias("piece"))
-    nodes = Written(whole.union(cut), "pieces").df
-    piece = [group_col, "piece"]
-    pieces = nodes.groupBy(piece).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-    placed = nodes.join(pieces, piece).withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(chunk))))
-    hubs = placed.groupBy(*piece, "chunk").agg(F.min("node").alias("hub"), F.count(F.lit(1)).cast("double").alias("w"))
-    spokes = placed.join(hubs.drop("w"), [*piece, "chunk"]).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.lit(1.0).alias("w"))
-    tops = hubs.join(pieces, piece).filter("hub <> first").select(F.col("hub").alias("a"), F.col("first").alias("b"), "w")
+    """nodes: node (long, unique) and group_col, written. Returns a, b, w: spokes to hubs (w 1) and hubs to their piece's
+    first (w the documents of the hub, so that they outvote its spokes). Only a group of more than `most` is cut into
+    pieces, of `most` each and a rest, without links between them. Nodes alone in their group or piece have no link. A
+    group with a large part of all rows is met where its rows lie (join_by_key)."""
+    total = nodes.count()
+    groups = Written(nodes.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("of"), F.min("node").alias("first")).filter("n > 1"), "groups").df
+    members = Written(join_by_key(nodes.select("node", group_col), groups, [group_col], "n", total), "members").df
+    whole = members.filter(F.col("of") <= most).withColumn("piece", F.lit(0).cast("long"))
+    cut = global_rank(members.filter(F.col("of") > most).select("node", group_col, "of"), [group_col], [F.col("node")], "at")
+    cut = cut.withColumn("piece", F.floor(F.col("at") / most).cast("long")).withColumn("of", F.least(F.lit(most).cast("long"), F.col("of") - F.col("piece") * most))
+    cut = Written(cut.select("node", group_col, "of", "piece"), "cut").df
+    heads = Written(cut.groupBy(group_col, "piece").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "heads").df
+    cut = join_by_key(cut, heads, [group_col, "piece"], "n", total)
+    placed = Written(whole.unionByName(cut).filter("of > 1").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("of") / F.lit(chunk)))), "chunks").df
+    hubs = Written(placed.groupBy(group_col, "piece", "chunk").agg(F.min("node").alias("hub"), F.min("first").alias("first"), F.count(F.lit(1)).cast("double").alias("w")), "hubs").df
+    # About `chunk` rows share a key here.
+    spokes = placed.select("node", group_col, "piece", "chunk").join(hubs.drop("w", "first"), [group_col, "piece", "chunk"]).filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), F.lit(1.0).alias("w"))
+    tops = hubs.filter("hub <> first").select(F.col("hub").alias("a"), F.col("first").alias("b"), "w")
     return spokes.union(tops)
 
 
@@ -82,7 +84,8 @@ def pack(sizes: dict[int, int], quota: list[int]) -> list[tuple[int, list[int],
 
 
 def shard_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, chunk: int = 256, rounds: int = 8, overhead: int = 16) -> DataFrame:
-    """id_col, size, text_crc32, law (`rows`), shard, slot (gapless from 0 in each shard) and grown_shard (null).
+    """id_col, size, text_crc32, law (`rows`), shard, slot (gapless from 0 in each shard) and grown_shard (null). Among
+    documents that are alike to the method, their order as stored decides, so another file layout may give other shards.
 
     Defined results: null and empty texts have size `overhead`, checksum 0, and are equal to each other. Rows with null or
     repeated ids are rows of their own. With fewer rows than shards some shards are empty; an empty table gives an empty

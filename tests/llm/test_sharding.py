@@ -45,12 +45,61 @@ def test_odd_rows(odd, none_at_all):
 def test_only_groups_beyond_a_shard_are_cut(spark):
     nodes = spark.range(3000).select(F.col("id").alias("node"), F.when(F.col("id") < 900, "fits").when(F.col("id") < 2950, "large").otherwise(F.col("id").cast("string")).alias("g"))
     links = sharding.copy_links(nodes, group_col="g", most=1000, chunk=50)
-    whole = Counter(Counter(r.root for r in components(links).collect()).values())
+    whole = Counter(Counter(r.root for r in components(links).df.collect()).values())
     assert whole == Counter({900: 1, 1000: 2, 50: 1})
     spokes = Counter(r.b for r in links.filter("w = 1").collect())
     assert all(r.w > spokes[r.a] for r in links.filter("w > 1").collect())
 
 
+def slow_labels(links):
+    """Label propagation over lists of neighbours, all nodes at once, until nobody moves."""
+    near = {}
+    for a, b, w in links:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    labels = {n: n for n in near}
+    while True:
+        new = {}
+        for n, others in near.items():
+            votes = Counter()
+            for b, w in others:
+                votes[labels[b]] += w
+            new[n] = min(labels[n], min(votes, key=lambda x: (-votes[x], x)))
+        if new == labels:
+            return labels
+        labels = new
+
+
+def test_as_by_brute_force(spark):
+    """Labels against plain propagation, and their shards against first fit, the largest first, one label at a time."""
+    group = lambda i: "large" if i < 700 else i // 130 if i < 1500 else i // 7 if i < 2200 else i
+    docs = spark.createDataFrame([(i, str(group(i))) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    links = sharding.copy_links(docs.selectExpr("doc_id AS node", "text AS g"), group_col="g", most=300, chunk=20)
+    want = slow_labels([tuple(r) for r in links.collect()])
+    assert {r.node: r.hub for r in sharding.propagate(links).collect()} == want
+    assert len({want[i] for i in range(700)}) == 3 and all(len({want[j] for j in want if group(j) == group(i)}) == 1 for i in range(700, 2200, 50))
+    sizes = Counter(want.values())
+    room, to = sharding.quotas(3000, 10), {}
+    for label in sorted(sizes, key=lambda x: (-sizes[x], x)):
+        to[label] = next((s for s in range(10) if room[s] >= sizes[label]), None)
+        if to[label] is not None:
+            room[to[label]] -= sizes[label]
+    rows = {r.doc_id: r.shard for r in sharding.shard_rows(docs, shards=10, chunk=20).collect()}
+    assert all(rows[n] == to[label] for n, label in want.items() if to[label] is not None)
+
+
+def test_hot_groups_without_skew_handling(spark):
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        group = lambda i: 0 if i < 2000 else i // 4
+        docs = spark.createDataFrame([(i, str(group(i))) for i in range(6000)], "doc_id long, text string")
+        rows = sharding.shard_rows(docs, shards=10).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+    check(rows, 6000, 10)
+    assert len({r.shard for r in rows if r.doc_id < 2000}) == 4
+
+
 def held_by(rows, group):
     found = {}
     for r in rows:
