@@ -28,8 +28,18 @@ def test_ties_nulls_lengths_and_large_values(spark):
     rows = [(i, [0.5, 0.5]) for i in range(60)] + [(i, list(map(float, rng.integers(-3, 3, 3) / 4))) for i in range(60, 100)]
     rows += [(100, None), (101, [1.0, None]), (102, [float("nan")]), (103, [float("inf")]), (104, []), (None, [0.25, 0.5]), (105, [1e6, -1e6]), (20, [0.5, 0.5])]
     df = spark.createDataFrame([(i, v, 9, 9.0) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
-    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=7, query_rows=3, candidate_rows=16, bins=16)
-    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 7)
+    for few in (1 << 25, 0):  # query blocks sent to all, and over a grid
+        got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=7, query_rows=3, candidate_rows=16, bins=16, at_once=2, few_bytes=few)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 7)
+    # More asked for than there is, at the usual sizes: all, ties by id over all blocks.
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=500).collect()), key=str) == brute(rows, 500)
+
+
+def test_ends_of_the_types(spark):
+    rows = [(0, [1.0, 0.0]), (2**63 - 1, [1.0, 2.0]), (None, [1.0, 1.0]), (5, [1e308, 0.0]), (6, [-1.7e308, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r)[2:] for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(5, 2**63 - 1), (2**63 - 1, 4096), (None, 4096), (6, 1 - 2**63)]
 
 
 def test_few_and_none(spark):
