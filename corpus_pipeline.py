@@ -1,7 +1,10 @@
 """A training corpus from raw documents: language, near duplicates, personal data, mixture, tokens.
 
 Every stage takes all documents that the one before it kept, from the Parquet written in between, and all but the last
-give back the columns of documents."""
+give back the columns of documents. Other columns of documents, whatever they are called, are left out. Nulls in any
+column are kept as they are, but for a missing lang, which the first stage fills in; a null text has no language and goes.
+Repeated rows are near copies of each other, so one of them stays. Documents that tie for a place are taken in the order
+of their ids. An empty table passes all stages as an empty table."""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm import bpe, language, mixing, pii, simhash
-from lettermill.llm._common import written
+from lettermill.llm._common import Written, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,9 +60,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. What a stage has written goes when its result is complete."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, f"stage-{name}")
-    return docs
+    held = None
+    for name, stage in STAGES[:-1]:
+        with scratch() as keep:
+            done = Written(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(done.path)
+        if held is not None:
+            held.drop()
+        docs, held = done.df, done
+    return STAGES[-1][1](spark, docs, sf_dir)
