@@ -109,7 +109,7 @@ class Predictor:
     """A model at work. Scores of unseen words are kept, at most kept_words of them; words of more than kept_letters are
     scored whole like all others, but anew each time."""
 
-    def __init__(self, model: LanguageModel, kept_words: int = 50_000, kept_letters: int = 64, at_once: int = 1 << 16):
+    def __init__(self, model: LanguageModel, kept_words: int = 100_000, kept_letters: int = 64, at_once: int = 1 << 16):
         self.model, self.kept_words, self.kept_letters, self.at_once = model, kept_words, kept_letters, at_once
         self.logs = np.concatenate((model.logs, np.zeros((1, model.logs.shape[1]))))
         self.known = _Known(model.words, len(model.logs))
