@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions.text import fold, letter_mask, luhn, mask_of
 from lettermill.operators.retrieve import subsequence_score
+from lettermill.session import cut
 
 # Patterns that both Java and RE2 read.
 ENTITY = {
@@ -182,28 +183,59 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return c.select(id_col, "ordinal", "s.start", "s.stop", F.ceil(F.octet_length(text) / 4.0).alias("tokens"))
 
 
-def thread_components(messages: DataFrame, node_col: str, parent_col: str) -> DataFrame:
-    """node and thread, the smallest node that replies lead to. Each round a node takes its parent's label, then that
-    label's label, so chains of n take about log n rounds; labels are checkpointed where the session has a folder."""
-    nodes = messages.select(F.col(node_col).alias("node"), F.col(parent_col).alias("parent"))
-    known = nodes.select(F.col("node").alias("k"))
-    start = nodes.join(known, F.col("parent") == F.col("k"), "left").select("node", F.least("node", F.coalesce("k", "node")).alias("thread"))
-    labels = _cut(start)
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b, in either direction. node and root, the smallest node that edges lead to, for every node that an edge
+    names. Each round a node takes the smallest label among its neighbours', then that label's own, so chains of n take
+    about log n rounds; labels are cut to files between rounds."""
+    pairs = edges.filter("a <> b").select("a", "b")
+    both = cut(pairs.union(pairs.select("b", "a")).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")))
     while True:
-        up = labels.select(F.col("node").alias("n2"), F.col("thread").alias("t2"))
-        new = _cut(labels.join(up, F.col("thread") == F.col("n2"), "left").select("node", F.col("thread").alias("old"), F.least("thread", F.coalesce("t2", "thread")).alias("thread")))
-        if not new.filter("old <> thread").limit(1).count():
-            return new.select("node", "thread")
-        labels = new.select("node", "thread")
-
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n1")).agg(F.min("root").alias("near"))
+        step = cut(labels.join(near, F.col("node") == F.col("n1")).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
+        up = labels.select(F.col("node").alias("n2"), F.col("root").alias("top"))
+        new = cut(step.join(up, F.col("root") == F.col("n2")).select("node", "old", F.least("root", "top").alias("root")))
+        if new.filter("old <> root").isEmpty():
+            return new.select("node", "root")
+        labels = new.select("node", "root")
 
-def _cut(df: DataFrame) -> DataFrame:
-    import tempfile
 
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lettermill-"))
-    return df.checkpoint()
+def thread_components(messages: DataFrame, node_col: str, parent_col: str) -> DataFrame:
+    """node and thread, the smallest message that replies connect it with, in whatever order they were numbered. A parent
+    that is no message of the table connects nothing by itself."""
+    nodes = messages.select(F.col(node_col).alias("node"), F.col(parent_col).alias("parent"))
+    known = nodes.select(F.col("node").alias("k")).distinct()
+    edges = nodes.join(known, F.col("parent") == F.col("k")).select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    roots = components(edges).withColumnRenamed("node", "n")
+    return nodes.join(roots, F.col("node") == F.col("n"), "left").select("node", F.coalesce("root", "node").alias("thread"))
+
+
+def threads(messages: DataFrame, *, days: int = 30) -> DataFrame:
+    """messages: id, message_id, refs (array of message ids, answered ones and all before), account, subject (bare), reply
+    (whether the subject says so) and at (seconds). id and thread, the smallest id of the thread.
+
+    Messages that share any reference are one thread, whether or not what they refer to is there. A reply without a thread
+    joins the newest one of its account and subject that began at most `days` before it; the lowest id names a thread."""
+    own = messages.select("id", F.explode(F.array_distinct(F.concat(F.array("message_id"), F.coalesce("refs", F.array().cast("array<string>"))))).alias("ref")).filter("ref IS NOT NULL")
+    first = own.groupBy("ref").agg(F.min("id").alias("first"))
+    roots = components(own.join(first, "ref").select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("node", "n")
+    placed = messages.join(roots, F.col("id") == F.col("n"), "left").select("id", "account", "subject", "at", "reply", (F.col("root").isNull() & F.col("reply") & (F.col("subject") != "")).alias("lost"), F.coalesce("root", "id").alias("thread"))
+    # Threads by their beginning, and lost replies, in one order of time; of each the last beginning before it.
+    begun = placed.groupBy("thread").agg(F.min_by(F.struct("account", "subject"), F.struct("at", "id")).alias("k"), F.min("at").alias("at"), F.bool_and("lost").alias("lost")).filter("NOT lost")
+    line = begun.select(F.col("k.account").alias("account"), F.col("k.subject").alias("subject"), "at", F.lit(0).alias("kind"), F.col("thread").alias("id"))
+    line = line.unionByName(placed.filter("lost").select("account", "subject", "at", F.lit(1).alias("kind"), "id"))
+    before = Window.partitionBy("account", "subject").orderBy("at", "kind", "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("kind") == 0, F.struct(F.col("id").alias("thread"), "at")), ignorenulls=True).over(before)
+    joined = line.withColumn("to", last).filter((F.col("kind") == 1) & (F.col("at") - F.col("to.at") <= days * 86_400)).select(F.col("id").alias("n"), F.col("to.thread").alias("found"))
+    named = placed.join(joined, F.col("id") == F.col("n"), "left").select("id", F.coalesce("found", "thread").alias("thread"))
+    return named.join(named.groupBy("thread").agg(F.min("id").alias("least")), "thread").select("id", F.col("least").alias("thread"))
+
+
+def capped_mentions(mentions: DataFrame, id_col: str, value_col: str, most: int = 64) -> DataFrame:
+    """Each document's distinct values, the first `most` in their order: what bounds the pairs of a document."""
+    m = mentions.select(F.col(id_col).alias(id_col), F.col(value_col).alias(value_col)).distinct()
+    w = Window.partitionBy(id_col).orderBy(value_col)
+    return m.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
 
 
 def finder(entries: DataFrame, query: str, limit: int = 50) -> DataFrame:

@@ -13,7 +13,8 @@ def dedupe(messages: DataFrame, key: str, id_col: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy(key).orderBy(id_col)
-    return messages.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) | F.col(key).isNull()).drop("_r")
+    keyed = messages.filter(F.col(key).isNotNull()).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return keyed.unionByName(messages.filter(F.col(key).isNull()))
 
 
 def pairs(exchange: DataFrame) -> DataFrame:

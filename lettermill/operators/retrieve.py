@@ -3,6 +3,7 @@ doc_id, source, score and rank, rank 1 the best, ties to the smaller id."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,6 +28,26 @@ def postings(pos: DataFrame) -> DataFrame:
     return pos.groupBy("term", "doc_id", "field").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def doc_vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """term, docs and n like vocabulary(), from the texts: the words of each are counted within the row, so one row for
+    each term of a document is summed, partly before the shuffle, and no list of documents is kept."""
+    words = docs.select(tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    once = words.select(F.explode(F.array_distinct("w")).alias("term"), F.lit(1).alias("docs"), F.lit(0).alias("n"))
+    every = words.select(F.explode("w").alias("term"), F.lit(0).alias("docs"), F.lit(1).alias("n"))
+    return once.unionByName(every).groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+
+
+def term_positions(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """positions() of the given terms only: found inside the row, so no other word becomes a row."""
+    wanted = F.array(*map(F.lit, sorted(set(terms))))
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    near = F.lit(False)
+    for t in sorted(set(terms)):
+        near = near | F.contains(low, F.lit(t))
+    rows = docs.filter(near).select(F.col(id_col).alias("doc_id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
+    return rows.filter(F.array_contains(wanted, F.col("term"))).select("doc_id", F.lit("body").alias("field"), "pos", "term")
+
+
 def vocabulary(pos: DataFrame) -> DataFrame:
     return pos.groupBy("term").agg(F.count_distinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("n"))
 
@@ -39,9 +60,10 @@ def ranked(df: DataFrame, source: str, limit: int | None = None) -> DataFrame:
     return df.withColumn("source", F.lit(source)).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def bm25(docs: DataFrame, terms: list[str], *, fields: dict[str, str] | None = None, id_col: str = "doc_id", weights: dict[str, float] | None = None, require_all: bool = True, prefix: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, terms: list[str], *, fields: dict[str, str] | None = None, id_col: str = "doc_id", weights: dict[str, float] | None = None, require_all: bool = True, prefix: bool = False, only: DataFrame | None = None) -> DataFrame:
     """doc_id and score of the documents that hold all terms (any, if not require_all). fields: column by field name.
-    Term counts are computed within each row, so only the rows that match, with their counts, are shuffled."""
+    Term counts are computed within each row, so only the rows that match, with their counts, are shuffled. only: doc_id of
+    the few documents to score; the statistics are those of all."""
     fields = fields or {"body": "text"}
     weights = weights or FIELD_WEIGHTS
     lists = docs.select(F.col(id_col).alias("doc_id"), *(tokens(F.coalesce(F.col(c), F.lit(""))).alias(f) for f, c in fields.items()))
@@ -51,6 +73,8 @@ def bm25(docs: DataFrame, terms: list[str], *, fields: dict[str, str] | None = N
 
     counted = lists.select("doc_id", sum((F.size(f) for f in fields), F.lit(0)).alias("dl"), *(sum((F.lit(weights.get(f, 1.0)) * F.size(F.filter(f, same(t))) for f in fields), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
+    if only is not None:
+        counted = counted.join(only, "doc_id", "left_semi")
     joined = counted.crossJoin(F.broadcast(stats))  # the statistics are one row
 
     def part(i: int) -> Column:
@@ -108,13 +132,19 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
+    """v by its length, which is computed once."""
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
 
 
-def knn(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest by cosine of unit vectors; one scan and a bounded heap, no shuffle."""
+def knn(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", units: bool = False) -> DataFrame:
+    """The k nearest by cosine; one scan and a bounded heap, no shuffle. Where all vectors are known to be unit, units
+    saves their lengths. A vector of zeros is at 0 from all."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    scored = vectors.select(F.col(id_col).alias("doc_id"), dot(F.col(vector_col), q).alias("score"))
+    score = dot(F.col(vector_col), q)
+    if not units:
+        own = F.sqrt(dot(F.col(vector_col), F.col(vector_col))) * F.lit(math.sqrt(sum(x * x for x in query)))
+        score = F.when(own > 0, score / own).otherwise(0.0)
+    scored = vectors.select(F.col(id_col).alias("doc_id"), score.alias("score"))
     return ranked(scored, "dense", k)
 
 

@@ -7,9 +7,13 @@ import re
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lettermill.session import cut
+
 
 class OverCap(ValueError):
     """A scan that would read more rows than it may."""
@@ -23,12 +27,13 @@ def capped(df: DataFrame, cap: int = 250_000) -> DataFrame:
 
 
 def fan_out(arms: dict[str, Callable[[], DataFrame]], schema: str, spark: SparkSession) -> tuple[DataFrame, list[str]]:
-    """The union of all arms; one that cannot be planned is left out and named."""
+    """The union of all arms, each a short list that is computed here; one that Spark cannot plan or run is left out and
+    named. Mistakes in the arms' own Python code are raised."""
     out, failed = spark.createDataFrame([], schema), []
     for name, arm in arms.items():
         try:
-            out = out.unionByName(arm())
-        except Exception:  # noqa: BLE001  an arm's failure must not sink the others
+            out = out.unionByName(cut(arm()))
+        except (PySparkException, Py4JError):
             failed.append(name)
     return out, failed
 
@@ -72,19 +77,27 @@ def reindex(messages: DataFrame, *, since=None, mailbox: str | None = None, ids:
 
 
 def has_cycle(parents: DataFrame, depth: int = 64) -> bool:
-    """parents: node, parent. Whether some node is its own ancestor; paths longer than depth count as one. Each round
-    doubles the reach of the links that are left."""
-    reach = parents.filter("parent IS NOT NULL").select("node", "parent")
-    steps = 1
-    while steps <= depth:
-        if reach.filter("node = parent").limit(1).count():
+    """parents: node, parent. Whether some node is its own ancestor; paths of more than depth links count as one. A cycle
+    has paths of any length, so all that is asked is whether one of depth + 1 links exists: links are put together by
+    squaring, as in raising to a power."""
+    power = parents.filter("parent IS NOT NULL").select("node", "parent").distinct()
+    left, whole = depth + 1, None
+
+    def then(x: DataFrame, y: DataFrame) -> DataFrame:
+        a, b = x.alias("a"), y.alias("b")
+        return cut(a.join(b, F.col("a.parent") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.parent").alias("parent")).distinct())
+
+    while True:
+        if left & 1:
+            whole = power if whole is None else then(whole, power)
+            if whole.isEmpty():
+                return False
+        left >>= 1
+        if not left:
             return True
-        a, b = reach.alias("a"), reach.alias("b")
-        reach = a.join(b, F.col("a.parent") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.parent").alias("parent"))
-        if not reach.limit(1).count():
+        power = then(power, power)
+        if power.isEmpty():
             return False
-        steps *= 2
-    return True
 
 
 def resolve_suggestions(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -101,9 +114,28 @@ def shadow(impressions: DataFrame, new_order: DataFrame) -> DataFrame:
 
 
 def prune(log: DataFrame, *, oldest, rows: int, id_col: str, time_col: str) -> DataFrame:
-    """By age and by number, newest first; ids grow with time, so the number is a bound on ids."""
-    newest = log.agg(F.max(id_col)).first()[0] or 0
-    return log.filter((F.col(time_col) >= F.lit(oldest)) & (F.col(id_col) > newest - rows))
+    """By age and by number, newest ids first; ids may have gaps."""
+    return log.filter((F.col(time_col) >= F.lit(oldest)) & (F.col(id_col) >= F.lit(nth_newest(log, id_col, rows))))
+
+
+def nth_newest(log: DataFrame, id_col: str, rows: int, buckets: int = 1000) -> int:
+    """The smallest id among the `rows` highest (unique integers). Ranges of ids are counted, at most `buckets` at a time,
+    and the one that holds it is looked into again: no sort, and no more than the counts come to the driver."""
+    low, high = log.agg(F.min(id_col), F.max(id_col)).first()
+    if low is None or rows <= 0:
+        return 0 if high is None else high + 1
+    while True:
+        width = (high - low) // buckets + 1
+        inside = log.filter(F.col(id_col).between(low, high)).groupBy(F.floor((F.col(id_col) - low) / width).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        for b, n in sorted(inside.collect(), reverse=True):
+            if n >= rows:
+                break
+            rows -= n
+        else:
+            return low
+        if width == 1:
+            return low + b
+        low, high = low + b * width, min(high, low + (b + 1) * width - 1)
 
 
 def notify_step(notices: DataFrame, *, quiet_col: str, threshold: str | None, attempts: int = 3) -> DataFrame:

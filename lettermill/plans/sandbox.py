@@ -7,6 +7,8 @@ import threading
 import uuid
 from dataclasses import dataclass
 
+from py4j.java_gateway import is_instance_of
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,64 +28,109 @@ class Refused(ValueError):
 
 @dataclass
 class Result:
+    """frame: at most 500 rows, as they may be shown. fetch() runs it within the deadline."""
+
     frame: DataFrame
     columns: list[str]
-
-
-def _bare(sql: str) -> str:
-    """The statement with strings and comments blanked, so that what is left is code."""
-    return re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/", lambda m: " '' " if m[0][0] in "'\"" else " ", sql, flags=re.S)
+    shown: DataFrame
+    seconds: int
+
+    def fetch(self) -> tuple[list, bool]:
+        """The rows, and whether there were more than are shown."""
+        return run_bounded(self.shown, self.seconds)
+
+
+_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+_EXPRESSION = "org.apache.spark.sql.catalyst.expressions."
+_ANALYSIS = "org.apache.spark.sql.catalyst.analysis."
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _walk(gateway, node, known: frozenset[str]) -> None:
+    """Refuses what the parsed tree calls or reads beyond what is allowed. known: the relations in scope, among them the
+    names of the WITH clauses around the node."""
+    kind = node.getClass().getSimpleName()
+
+    def is_a(name: str) -> bool:
+        return is_instance_of(gateway, node, name)
+
+    if is_a(_LOGICAL + "Command") or is_a(_LOGICAL + "ParsedStatement") or kind in ("ScriptTransformation", "Generate", "UnresolvedTableValuedFunction", "UnresolvedTableArgPlan") or "UnresolvedIdentifier" in kind:
+        raise Refused(f"not allowed: {kind}")
+    if kind == "UnresolvedFunction":
+        name = ".".join(_items(node.nameParts())).lower()
+        if name not in FUNCTIONS:
+            raise Refused(f"function not allowed: {name}")
+    if kind == "UnresolvedRelation":
+        name = ".".join(_items(node.multipartIdentifier())).lower()
+        if name not in known:
+            raise Refused(f"unknown relation: {name}")
+        return
+    if kind == "UnresolvedWith":
+        if node.allowRecursion():
+            raise Refused("recursive")
+        for each in _items(node.cteRelations()):
+            _walk(gateway, each._2(), known)
+            known = known | {each._1().lower()}
+    if is_a(_EXPRESSION + "PlanExpression"):
+        _walk(gateway, node.plan(), known)
+    for child in _items(node.children()):
+        _walk(gateway, child, known)
+    if is_a("org.apache.spark.sql.catalyst.plans.QueryPlan"):
+        for e in _items(node.expressions()):
+            _walk(gateway, e, known)
 
 
 def validate(spark: SparkSession, sql: str, relations: set[str]) -> str:
-    """The statement without a trailing semicolon; Refused says why not."""
+    """The statement without a trailing semicolon; Refused says why not. What counts is the tree that the parser makes of
+    it, so quoting, comments and letter case hide nothing."""
     if len(sql.encode()) > MAX_BYTES:
         raise Refused(f"over {MAX_BYTES} bytes")
-    code = _bare(sql).strip()
-    if ";" in code.rstrip(";").rstrip():
-        raise Refused("more than one statement")
-    if not re.match(r"(?is)(select|with)\b", code):
+    statement = sql.strip().rstrip(";").rstrip()
+    if not re.match(r"(?is)(select|with)\b", statement):
         raise Refused("not a SELECT")
-    if re.search(r"(?i)\bwith\s+recursive\b", code):
-        raise Refused("recursive")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";").rstrip())
-    text = plan.toString()
-    names = {m.lower() for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", text)}
-    ctes = {m.lower() for m in re.findall(r"(?is)(?:\bwith|,)\s+(\w+)\s*(?:\([^)]*\))?\s+as\s*\(", code)}
-    if outside := names - {r.lower() for r in relations} - ctes:
-        raise Refused(f"unknown relation: {', '.join(sorted(outside))}")
-    called = {m.lower() for m in re.findall(r"([A-Za-z_]\w*)\s*\(", code)}
-    words = {"in", "over", "as", "and", "or", "not", "values", "exists", "when", "then", "else", "case", "on", "using", "partition", "by", "filter", "where", "from", "select", "distinct", "join", "union", "all", "between"} | ctes
-    if outside := called - FUNCTIONS - words:
-        raise Refused(f"function not allowed: {', '.join(sorted(outside))}")
-    return sql.strip().rstrip(";").rstrip()
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except PySparkException as e:
+        raise Refused(f"cannot be parsed: {str(e).splitlines()[0]}") from e
+    _walk(spark.sparkContext._gateway, tree, frozenset(r.lower() for r in relations))
+    return statement
 
 
 def run_select(spark: SparkSession, sql: str, views: dict[str, DataFrame], args: dict | None = None, *, seconds: int = SECONDS) -> Result:
-    """Runs the statement over views alone. The result has at most 500 rows, long texts are cut and binaries named; a
-    statement that takes longer than seconds when it is run under run_bounded is cancelled."""
+    """The statement over views alone. The result has at most 500 rows, long texts are cut and binaries named; fetch()
+    cancels what takes longer than seconds. The session's own views stay as they are: the given ones stand under names of
+    their own until the statement is analysed, and the statement sees them through a WITH clause around it."""
     if len(args or {}) > MAX_PARAMS:
         raise Refused("too many parameters")
-    own = spark.newSession()
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    statement = validate(own, sql, set(views))
-    df = spark.sql(statement, args=args or {})
+    statement = validate(spark, sql, set(views))
+    names = {name: f"lettermill_{uuid.uuid4().hex}" for name in views}
+    try:
+        for name, df in views.items():
+            df.createTempView(names[name])
+        given = ", ".join(f"`{name}` AS (SELECT * FROM `{own}`)" for name, own in names.items())
+        df = spark.sql(f"WITH {given} ({statement}\n)" if given else statement, args=args or {})
+    finally:
+        for own in names.values():
+            spark.catalog.dropTempView(own)
     if len(df.columns) > MAX_COLUMNS:
         raise Refused("too many columns")
     shown = [F.lit("<binary>").alias(n) if t == "binary" else F.when(F.length(n) > CELL, F.concat(F.substring(n, 1, CELL), F.lit("…"))).otherwise(F.col(n)).alias(n) if t == "string" else F.col(n) for n, t in df.dtypes]
-    return Result(df.select(*shown).limit(MAX_ROWS), df.columns)
+    out = df.select(*shown)
+    return Result(out.limit(MAX_ROWS), df.columns, out, seconds)
 
 
 def run_bounded(df: DataFrame, seconds: int = SECONDS) -> tuple[list, bool]:
     """Rows (at most 500) and whether there were more; the job is cancelled after seconds."""
-    spark, tag = df.sparkSession, f"sandbox-{uuid.uuid4().hex}"
-    spark.addTag(tag)
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
+    jobs, tag = df.sparkSession.sparkContext, f"sandbox-{uuid.uuid4().hex}"
+    jobs.addJobTag(tag)
+    timer = threading.Timer(seconds, lambda: jobs.cancelJobsWithTag(tag))
     timer.start()
     try:
         rows = df.limit(MAX_ROWS + 1).collect()
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        jobs.removeJobTag(tag)
     return rows[:MAX_ROWS], len(rows) > MAX_ROWS

@@ -90,10 +90,11 @@ def cadence_decay(spark, d):
     return c.select("contact", "messages", F.round("direction", 6).alias("direction"), "first_at", "last_at", "median_gap", "longest_gap", "dormant", "declining")
 
 
-@query(r"""WITH n AS (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 400), t AS (SELECT DISTINCT source, doc_id, unnest(list_filter(regexp_split_to_array(lower(split_part(text, '.', 1)), '[^\pL\pN]+'), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'are', 'was', 'you', 'your'))) AS term FROM n)
+@query(r"""WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents) WHERE place <= 400), t AS (SELECT DISTINCT source, doc_id, unnest(list_filter(regexp_split_to_array(lower(split_part(text, '.', 1)), '[^\pL\pN]+'), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'are', 'was', 'you', 'your'))) AS term FROM n)
 SELECT source, term, df FROM (SELECT source, term, count(*) AS df, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, term) AS r FROM t GROUP BY 1, 2 HAVING count(*) > 1) WHERE r <= 8""")
 def topic_terms(spark, d):
-    newest = table(spark, d, "documents").orderBy(F.desc("doc_id")).limit(400)
+    """Of each source its newest 400 subjects."""
+    newest = table(spark, d, "documents").select("source", "doc_id", "text").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id")))).filter("place <= 400")
     return contacts.topics(newest.withColumn("subject", F.split_part("text", F.lit("."), F.lit(1))), "source", "doc_id", "subject")
 
 
@@ -141,10 +142,12 @@ def entity_mentions(spark, d):
     return mining.entities(table(spark, d, "documents")).groupBy("doc_id", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""WITH m AS (SELECT DISTINCT doc_id % 50 AS doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}(?:\.[0-9]{1,3}){3}')) AS value FROM documents))
+@query(r"""WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))) AS value FROM documents
+ UNION SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}(?:\.[0-9]{1,3}){3}')) FROM documents UNION SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{9,}')) FROM documents),
+m AS (SELECT doc_id, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY value) AS r FROM (SELECT DISTINCT doc_id, value FROM e)) WHERE r <= 64)
 SELECT a.value AS src, b.value AS dst, count(*) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.value < b.value GROUP BY 1, 2""")
 def cooccurrence_edges(spark, d):
-    m = mining.entities(table(spark, d, "documents")).filter("kind = 'ip'").select((F.col("doc_id") % 50).alias("doc_id"), "value")
+    m = mining.capped_mentions(mining.entities(table(spark, d, "documents")), "doc_id", "value")
     return mining.cooccurrence(m, "doc_id", "value")
 
 
@@ -195,18 +198,21 @@ def message_roles(spark, d):
     return table(spark, d, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT conv_id * 1000 + turn AS node, conv_id * 1000 AS thread FROM conversations")
+@query("SELECT CASE WHEN conv_id % 2 = 0 THEN conv_id * 1000 + turn ELSE conv_id * 1000 + 999 - turn END AS node, min(CASE WHEN conv_id % 2 = 0 THEN conv_id * 1000 + turn ELSE conv_id * 1000 + 999 - turn END) OVER (PARTITION BY conv_id) AS thread FROM conversations")
 def thread_components(spark, d):
-    """Threads as connected components of the replies."""
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("node"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"))
+    """Threads as connected components of the replies. In every other conversation replies have smaller numbers than what
+    they answer."""
+    number = lambda turn: F.col("conv_id") * 1000 + F.when(F.col("conv_id") % 2 == 0, turn).otherwise(999 - turn)
+    turn = F.col("turn")
+    c = table(spark, d, "conversations").select(number(turn).alias("node"), F.when(turn > 0, number(turn - 1)).alias("parent"))
     return mining.thread_components(c, "node", "parent")
 
 
-@query("SELECT doc_id, CASE WHEN total <= 20000 THEN place END AS cite, doc_id AS source FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS place, sum(n_chars) OVER (ORDER BY n_chars DESC, doc_id) AS total FROM (SELECT * FROM documents WHERE n_chars < 3000 ORDER BY n_chars DESC, doc_id LIMIT 30))")
+@query("SELECT doc_id, CASE WHEN total <= 20000 THEN place END AS cite, doc_id AS source FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS place, sum(n_chars) OVER (ORDER BY doc_id DESC) AS total FROM (SELECT * FROM documents ORDER BY doc_id DESC LIMIT 30))")
 def context_pack(spark, d):
     """Whole documents in rank order as long as they fit the budget, numbered for citation."""
-    top = table(spark, d, "documents").filter("n_chars < 3000").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(30)
-    w = Window.orderBy(F.desc("n_chars"), "doc_id")
+    top = table(spark, d, "documents").select("doc_id", "n_chars").orderBy(F.desc("doc_id")).limit(30)
+    w = Window.orderBy(F.desc("doc_id"))
     p = top.withColumn("place", F.row_number().over(w).cast("long")).withColumn("total", F.sum("n_chars").over(w))
     return p.select("doc_id", F.when(F.col("total") <= 20000, F.col("place")).alias("cite"), F.col("doc_id").alias("source"))
 
@@ -245,7 +251,9 @@ def stream_log_tail(spark, d):
 def stream_dedupe(spark, d):
     from lettermill.streaming.log import drain, event_source
 
-    return drain(event_source(spark, f"{d}/events.parquet").select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), "dedupe")
+    # The watermark bounds the state: a pair is forgotten a day after it was last seen.
+    e = event_source(spark, f"{d}/events.parquet").withColumn("ts", F.to_timestamp("ts")).withWatermark("ts", "1 day")
+    return drain(e.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"), "dedupe")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start_at, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -257,12 +265,12 @@ def stream_tumbling(spark, d):
     return drain(g, "tumbling", mode="complete").select(F.col("w.start").cast("timestamp_ntz").alias("start_at"), "event_type", "n")
 
 
-@query("SELECT user_id AS id, 'entered' AS change FROM events WHERE event_type = 'purchase' AND value > 100 AND user_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT c_custkey, 'departed' FROM customer WHERE c_custkey < 150 AND c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100)")
+@query("SELECT user_id AS id, 'entered' AS change FROM events WHERE event_type = 'purchase' AND value > 100 AND user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) GROUP BY 1 UNION ALL SELECT c_custkey, 'departed' FROM customer WHERE c_acctbal > 5000 AND c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100)")
 def stream_membership(spark, d):
     from lettermill.streaming.membership import delta
 
     now = table(spark, d, "events").filter("event_type = 'purchase' AND value > 100").select(F.col("user_id").alias("id")).distinct()
-    ledger = table(spark, d, "customer").filter("c_custkey < 150 AND c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"))
+    ledger = table(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("id"))
     return delta(ledger, now)
 
 

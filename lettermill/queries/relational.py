@@ -184,9 +184,9 @@ def keyset_second_page(spark, d):
     return keyset_page(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", (200000.0, 100), 25)
 
 
-@query("SELECT a.l_partkey AS src, b.l_partkey AS dst, count(DISTINCT a.l_orderkey) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' GROUP BY 1, 2")
+@query("SELECT a.l_partkey AS src, b.l_partkey AS dst, count(DISTINCT a.l_orderkey) AS weight FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2")
 def self_pairs(spark, d):
-    l = table(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_partkey").distinct()
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = l.alias("a"), l.alias("b")
     return a.join(b, F.expr("a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey")).groupBy(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
 
@@ -197,9 +197,9 @@ def range_containment(spark, d):
     return table(spark, d, "events").join(F.broadcast(bands), F.expr("value >= low AND value < high")).select("event_id", "band")
 
 
-@query("SELECT c_custkey, n.n_nationkey FROM (SELECT * FROM customer WHERE c_acctbal > 9000) c FULL JOIN nation n ON c.c_nationkey = n.n_nationkey")
+@query("SELECT c_custkey, n.n_nationkey FROM customer c FULL JOIN nation n ON c.c_nationkey = n.n_nationkey")
 def full_outer(spark, d):
-    c = table(spark, d, "customer").filter("c_acctbal > 9000")
+    c = table(spark, d, "customer")
     return c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "full").select("c_custkey", "n_nationkey")
 
 

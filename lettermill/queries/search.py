@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lettermill.operators import fuse, rank, retrieve
 from lettermill.plans.planner import classify_intent
+from lettermill.session import cut
 from lettermill.sources.tables import epoch, table
 
 QUERIES: dict = {}
@@ -49,7 +50,7 @@ def docs(spark, d) -> DataFrame:
 
 @query(f"WITH {_T} SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM t GROUP BY term HAVING count(DISTINCT doc_id) > 1")
 def vocab_stats(spark, d):
-    return retrieve.vocabulary(retrieve.positions(docs(spark, d))).filter("docs > 1")
+    return retrieve.doc_vocabulary(docs(spark, d)).filter("docs > 1")
 
 
 @query(f"WITH {_bm25_sql(TERMS)} SELECT doc_id, round(score, 6) AS score FROM lexical")
@@ -73,12 +74,12 @@ def bm25_fields(spark, d):
 
 @query(f"WITH {_T} SELECT a.doc_id, count(*) AS hits FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'eriner' AND b.term = 'thanea' GROUP BY 1")
 def phrase_hits(spark, d):
-    return retrieve.phrase_hits(retrieve.positions(docs(spark, d)), ["eriner", "thanea"])
+    return retrieve.phrase_hits(retrieve.term_positions(docs(spark, d), ["eriner", "thanea"]), ["eriner", "thanea"])
 
 
 @query(f"WITH {_T} SELECT a.doc_id, CAST(min(abs(a.pos - b.pos)) AS INTEGER) AS gap FROM t a JOIN t b ON a.doc_id = b.doc_id WHERE a.term = 'thing' AND b.term = 'thtion' GROUP BY 1 HAVING min(abs(a.pos - b.pos)) <= 10")
 def near_hits(spark, d):
-    return retrieve.near_hits(retrieve.positions(docs(spark, d)), "thing", "thtion")
+    return retrieve.near_hits(retrieve.term_positions(docs(spark, d), ["thing", "thtion"]), "thing", "thtion")
 
 
 @query(f"WITH {_T} SELECT doc_id, count(*) AS hits FROM t WHERE starts_with(term, 'esti') GROUP BY 1")
@@ -88,7 +89,7 @@ def prefix_terms(spark, d):
 
 @query(f"WITH {_T}, v AS (SELECT term, count(DISTINCT doc_id) AS docs FROM t GROUP BY term) SELECT term, docs, CAST(levenshtein(term, 'estoin') AS INTEGER) AS distance FROM v WHERE docs >= 2 AND length(term) BETWEEN 4 AND 8 AND levenshtein(term, 'estoin') <= 2 ORDER BY distance, docs DESC, term LIMIT 1")
 def spellfix(spark, d):
-    return retrieve.spell(retrieve.vocabulary(retrieve.positions(docs(spark, d))), "estoin").select("term", "docs", "distance")
+    return retrieve.spell(retrieve.doc_vocabulary(docs(spark, d)), "estoin").select("term", "docs", "distance")
 
 
 @query(f"""WITH {_T}, u AS (SELECT DISTINCT doc_id, term FROM t), own AS (SELECT doc_id FROM u WHERE term = 'thing' ORDER BY doc_id DESC LIMIT 64),
@@ -109,7 +110,7 @@ _DOT = "list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), q)"
 
 @query(f"WITH {_Q}, s AS (SELECT vec_id AS doc_id, {_DOT} AS score FROM embeddings, q) SELECT doc_id, round(score, 5) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s ORDER BY score DESC, doc_id LIMIT 50")
 def knn_topk(spark, d):
-    return retrieve.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 50).select("doc_id", F.round("score", 5).alias("score"), "rank")
+    return retrieve.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 50, units=True).select("doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(f"WITH {_Q} SELECT label, round(max({_DOT}), 5) AS cos_max, round(avg({_DOT}), 5) AS cos_mean FROM embeddings, q GROUP BY label")
@@ -121,7 +122,7 @@ def knn_maxmean(spark, d):
 @query(f"WITH {_Q}, s AS (SELECT vec_id AS doc_id, {_DOT} AS score FROM embeddings, q WHERE vec_id <> 7) SELECT doc_id, round(score, 5) AS score FROM s ORDER BY score DESC, doc_id LIMIT 10")
 def similar_docs(spark, d):
     e = table(spark, d, "embeddings").filter("vec_id <> 7")
-    return retrieve.knn(e, _query_vector(spark, d), 10).select("doc_id", F.round("score", 5).alias("score"))
+    return retrieve.knn(e, _query_vector(spark, d), 10, units=True).select("doc_id", F.round("score", 5).alias("score"))
 
 
 @query("SELECT label, list_transform(range(1, 9), lambda i: round(m[i], 4))::VARCHAR AS head FROM (SELECT label, list_transform(range(1, 9), lambda i: sum_i[i] / sqrt(list_sum(list_transform(sum_i, lambda x: x * x)))) AS m FROM (SELECT label, list(s ORDER BY i) AS sum_i FROM (SELECT label, i, avg(e::DOUBLE) AS s FROM (SELECT label, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1))")
@@ -174,7 +175,7 @@ def entity_examples(spark, d):
 
 @query()
 def fuzzy_match(spark, d):
-    return retrieve.fuzzy(docs(spark, d), "thng", F.split_part("text", F.lit("."), F.lit(1)), limit=50)
+    return retrieve.fuzzy(docs(spark, d), "thng", F.col("text"), limit=50)
 
 
 # Fusion over three retrievers
@@ -183,10 +184,11 @@ def fuzzy_match(spark, d):
 def candidates(spark, d) -> DataFrame:
     t = docs(spark, d)
     one = retrieve.ranked(retrieve.bm25(t, TERMS, require_all=False), "lexical", 200)
-    two = retrieve.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 200)
+    two = retrieve.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 200, units=True)
     three = retrieve.ranked(t.select("doc_id", retrieve.recency(F.lit(NOW) - F.col("n_chars") * 1000, NOW).alias("score")), "recency", 200)
     cols = ["doc_id", "source", "score", "rank"]
-    return one.select(*cols).unionByName(two.select(*cols)).unionByName(three.select(*cols))
+    # At most 600 rows, which every later step reads: computed once.
+    return cut(one.select(*cols).unionByName(two.select(*cols)).unionByName(three.select(*cols)))
 
 
 _CAND = f"""{_bm25_sql(TERMS, every=False)}, {_Q},
@@ -243,11 +245,11 @@ def mmr_select(spark, d):
 @query()
 def snippets(spark, d):
     @F.pandas_udf("string")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def shorten(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: rank.snippet(t, TERMS)[0])
 
-    return _top(spark, d).select("doc_id", cut(F.col("text")).alias("snippet"))
+    return _top(spark, d).select("doc_id", shorten(F.col("text")).alias("snippet"))
 
 
 @query()
@@ -263,11 +265,15 @@ def min_span(spark, d):
 # Features and the linear ranker
 
 
-def features(spark, d) -> DataFrame:
-    t = docs(spark, d)
-    f = fuse.rrf(candidates(spark, d), fuse.WEIGHTS["exploratory"]).withColumnRenamed("score", "rrf_score")
-    body = retrieve.bm25(t, TERMS, require_all=False).withColumnRenamed("score", "bm25_body")
-    cos = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), retrieve.dot(F.col("embedding"), F.array(*map(F.lit, _query_vector(spark, d)))).alias("cos_max_chunk"))
+def features(spark, d, found: DataFrame | None = None) -> DataFrame:
+    """Features of the fused candidates only: all that is computed from texts is computed for those few ids, which are
+    broadcast (at most 600)."""
+    c = candidates(spark, d) if found is None else found
+    ids = F.broadcast(c.select("doc_id").distinct())
+    t = docs(spark, d).join(ids, "doc_id", "left_semi")
+    f = fuse.rrf(c, fuse.WEIGHTS["exploratory"]).withColumnRenamed("score", "rrf_score")
+    body = retrieve.bm25(docs(spark, d), TERMS, require_all=False, only=ids).withColumnRenamed("score", "bm25_body")
+    cos = table(spark, d, "embeddings").join(ids, F.col("vec_id") == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("doc_id"), retrieve.dot(F.col("embedding"), F.array(*map(F.lit, _query_vector(spark, d)))).alias("cos_max_chunk"))
     news, auto = rank.bulk_flags(F.col("source"), F.split_part("text", F.lit("\n"), F.lit(1)))
     own = t.select(
         "doc_id",
@@ -329,14 +335,14 @@ def ranked_search(spark, d):
     c = candidates(spark, d)
     score, _ = rank.l1_score(intent)
     kept = fuse.drop_prior_only(fuse.rrf(c, fuse.WEIGHTS[intent]), c).select("doc_id")
-    top = features(spark, d).join(kept, "doc_id", "left_semi").withColumn("score", score).orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", "score")
+    top = features(spark, d, c).join(kept, "doc_id", "left_semi").withColumn("score", score).orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", "score")
 
     @F.pandas_udf("string")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def shorten(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(lambda t: rank.snippet(t, TERMS)[0])
 
-    return top.join(docs(spark, d).select("doc_id", "text"), "doc_id").select("doc_id", F.round("score", 6).alias("score"), cut(F.col("text")).alias("snippet"))
+    return top.join(docs(spark, d).select("doc_id", "text"), "doc_id").select("doc_id", F.round("score", 6).alias("score"), shorten(F.col("text")).alias("snippet"))
 
 
 # Evaluation: documents are ranked for each source by length; labels are the judgments

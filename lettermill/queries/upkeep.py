@@ -59,7 +59,7 @@ def fan_out_degraded(spark, d):
 @query("WITH q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id AS chunk_id, vec_id // 3 AS doc_id, list_dot_product(list_transform(embedding, lambda x: x::DOUBLE), q) AS s FROM embeddings, q ORDER BY s DESC, chunk_id LIMIT 64) SELECT doc_id, round(max(s), 5) AS score, count(*) AS chunks FROM s GROUP BY 1")
 def chunk_search(spark, d):
     """The nearest chunks, gathered by document."""
-    top = retrieve.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 64)
+    top = retrieve.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 64, units=True)
     return top.groupBy(F.expr("doc_id div 3").alias("doc_id")).agg(F.round(F.max("score"), 5).alias("score"), F.count(F.lit(1)).alias("chunks"))
 
 
@@ -68,21 +68,21 @@ both_arms AS ((SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS
 SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM both_arms GROUP BY 1""")
 def attachment_hybrid(spark, d):
     one = retrieve.ranked(retrieve.bm25(docs(spark, d), ["thing"]), "lexical", 100)
-    two = retrieve.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 100)
+    two = retrieve.knn(table(spark, d, "embeddings"), _query_vector(spark, d), 100, units=True)
     cols = ["doc_id", "source", "score", "rank"]
     return fuse.rrf(one.select(*cols).unionByName(two.select(*cols)), {"lexical": 1.0, "dense": 1.0}).select("doc_id", F.round("score", 9).alias("score"))
 
 
-@query("WITH t AS (SELECT doc_id, n_chars::DOUBLE AS score, doc_id * 7 % 41 AS place FROM documents WHERE n_chars < 2000 ORDER BY n_chars DESC, doc_id LIMIT 20), a AS (SELECT score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM t), b AS (SELECT doc_id, row_number() OVER (ORDER BY place, doc_id) AS r FROM t) SELECT doc_id, round(score - r * 1e-9, 6) AS score FROM b JOIN a USING (r)")
+@query("WITH t AS (SELECT doc_id, n_chars::DOUBLE AS score, doc_id * 7 % 41 AS place FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20), a AS (SELECT score, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM t), b AS (SELECT doc_id, row_number() OVER (ORDER BY place, doc_id) AS r FROM t) SELECT doc_id, round(score - r * 1e-9, 6) AS score FROM b JOIN a USING (r)")
 def l2_rerank(spark, d):
-    t = docs(spark, d).filter("n_chars < 2000").select("doc_id", F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    t = docs(spark, d).select("doc_id", F.col("n_chars").cast("double").alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
     return upkeep.rerank(t, t.select("doc_id", (F.col("doc_id") * 7 % 41).alias("place"))).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id < 300)")
+@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
 def missing_vectors(spark, d):
-    t = docs(spark, d).select("doc_id", F.sha2("text", 256).alias("hash"))
-    cache = t.filter("doc_id < 300").select(F.lit("m").alias("model"), F.lit(64).alias("dim"), "hash")
+    t = docs(spark, d).select("doc_id", "lang", F.sha2("text", 256).alias("hash"))
+    cache = t.filter("lang = 'en'").select(F.lit("m").alias("model"), F.lit(64).alias("dim"), "hash")
     return upkeep.missing_vectors(t, cache, "m", 64).select("doc_id")
 
 
@@ -95,10 +95,18 @@ def reindex_selection(spark, d):
     return upkeep.reindex(e, since=newest - timedelta(days=3), mailbox="view", id_col="event_id", time_col="ts", mailbox_col="event_type").select("event_id")
 
 
-@query("SELECT false AS cyclic")
+@query("""WITH RECURSIVE n AS (SELECT 'tree' AS kind, 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'ring', 'n' || n_nationkey, 'n' || ((n_nationkey + 1) % 25) FROM nation
+ UNION ALL SELECT 'chain of ' || k, 'p' || p_partkey, 'p' || (p_partkey + 1) FROM part, (SELECT unnest([64, 65, 100]) AS k) WHERE p_partkey <= k),
+w AS (SELECT kind, node, parent, 1 AS links FROM n UNION ALL SELECT w.kind, w.node, n.parent, links + 1 FROM w JOIN n ON w.kind = n.kind AND w.parent = n.node WHERE links <= 64)
+SELECT kind, max(links) > 64 AS cyclic FROM w GROUP BY kind""")
 def hierarchy_cycle(spark, d):
-    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    return spark.createDataFrame([(upkeep.has_cycle(n),)], "cyclic boolean")
+    """Trees of nations, a ring of them, and chains of parts; what loops or is deeper than 64 links is refused."""
+    n, p = table(spark, d, "nation"), table(spark, d, "part")
+    say = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    found = {"tree": n.select(say("n", F.col("n_nationkey")).alias("node"), say("r", F.col("n_regionkey")).alias("parent")), "ring": n.select(say("n", F.col("n_nationkey")).alias("node"), say("n", (F.col("n_nationkey") + 1) % 25).alias("parent"))}
+    for k in (64, 65, 100):
+        found[f"chain of {k}"] = p.filter(F.col("p_partkey") <= k).select(say("p", F.col("p_partkey")).alias("node"), say("p", F.col("p_partkey") + 1).alias("parent"))
+    return spark.createDataFrame([(kind, upkeep.has_cycle(x)) for kind, x in found.items()], "kind string, cyclic boolean")
 
 
 @query("SELECT event_id AS id, event_type AS tag, CASE WHEN event_id % 3 = 0 THEN 'pending' WHEN value > 50 THEN 'accepted' ELSE 'rejected' END AS state FROM events")
@@ -115,12 +123,12 @@ def shadow_eval(spark, d):
     return upkeep.shadow(i, n).select("q", F.round("now", 6).alias("now_mrr"), F.round("then", 6).alias("then_mrr"), "unlabelled")
 
 
-@query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL '10 days' AND event_id > (SELECT max(event_id) FROM events) - 8000")
+@query("WITH e AS (SELECT * FROM events WHERE event_type <> 'view') SELECT event_id FROM e WHERE ts >= (SELECT max(ts) FROM e) - INTERVAL '10 days' AND event_id IN (SELECT event_id FROM e ORDER BY event_id DESC LIMIT 3000)")
 def feedback_prune(spark, d):
     from datetime import timedelta
 
-    e = table(spark, d, "events")
-    return upkeep.prune(e, oldest=e.agg(F.max("ts")).first()[0] - timedelta(days=10), rows=8000, id_col="event_id", time_col="ts").select("event_id")
+    e = table(spark, d, "events").filter("event_type <> 'view'")
+    return upkeep.prune(e, oldest=e.agg(F.max("ts")).first()[0] - timedelta(days=10), rows=3000, id_col="event_id", time_col="ts").select("event_id")
 
 
 @query("SELECT event_id AS id, CASE WHEN event_type IN ('view', 'signup') THEN 'suppressed' WHEN hour(ts) >= 22 OR hour(ts) < 7 THEN 'pending' WHEN value < 100 THEN 'delivered' WHEN event_id % 4 + 1 >= 3 THEN 'failed' ELSE 'pending' END AS next FROM events")

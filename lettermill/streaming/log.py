@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettermill.operators.upkeep import nth_newest
+from lettermill.session import shared_dir
+
 
 class OutOfRange(ValueError):
     """A cursor that the log no longer, or not yet, reaches."""
@@ -35,13 +37,17 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 
 def drain(stream: DataFrame, name: str, *, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs the stream over all that is there, then stops; the sink's rows as a table."""
-    spark = stream.sparkSession
-    table = f"lettermill_{name}_{uuid.uuid4().hex[:8]}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lettermill-")
-    query = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint or f"{base}/{table}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(table)
+    """Runs the stream over all that is there, then stops; the sink's rows, as Parquet in the shared folder. In complete
+    mode each batch's whole result takes the place of the one before."""
+    spark, table = stream.sparkSession, f"{name}-{uuid.uuid4().hex[:8]}"
+    path = f"{shared_dir(spark)}/lettermill/{table}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{path}-cursor").trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    else:
+        writer = writer.format("parquet").option("path", path)
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def check_cursor(cursor: int, oldest: int, latest: int) -> None:
@@ -57,9 +63,9 @@ def since(events: DataFrame, cursor: int, limit: int) -> DataFrame:
 
 
 def retain(events: DataFrame, *, now, rows: int = 1_000_000, days: int = 7) -> DataFrame:
-    """The newest rows, none older than days. Ids are dense, so the row bound is a bound on ids: no global sort."""
-    newest = events.agg(F.max("event_id")).first()[0] or 0
-    return events.filter((F.col("event_id") > newest - rows) & (F.col("ts") >= F.lit(now) - F.expr(f"INTERVAL {days} DAYS")))
+    """The newest rows by id, none older than days; ids may have gaps."""
+    first = nth_newest(events, "event_id", rows)
+    return events.filter((F.col("event_id") >= F.lit(first)) & (F.col("ts") >= F.lit(now) - F.expr(f"INTERVAL {days} DAYS")))
 
 
 def once(stream: DataFrame, key: str, time_col: str, ttl: str = "1 day") -> DataFrame:

@@ -1,8 +1,9 @@
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lettermill.functions import text as T
-from lettermill.operators import evaluate, fuse, invoices, mining, rank, response, retrieve
+from lettermill.operators import evaluate, fuse, invoices, mining, rank, response, retrieve, upkeep
 from lettermill.sources import calendar, delimited, mail
 from lettermill.streaming import log, membership, queue
 
@@ -175,3 +176,49 @@ def test_upkeep(spark):
     assert upkeep.natural_time("friday 14:30", now) == datetime(2026, 2, 20, 14, 30)
     assert upkeep.natural_time("in 2 hours", now) == datetime(2026, 2, 14, 14) and upkeep.natural_time("soon", now) is None
     assert upkeep.fresh(3, 3, 99) and not upkeep.fresh(2, 3, 99)
+
+
+def test_threads(spark):
+    one = spark.createDataFrame([(1, 5), (5, None), (7, 5), (9, 8), (10, None)], "node long, parent long")
+    assert {r.node: r.thread for r in mining.thread_components(one, "node", "parent").collect()} == {1: 1, 5: 1, 7: 1, 9: 9, 10: 10}
+    day = 86_400
+    rows = [
+        (1, "a", [], "x", "lunch", False, 0),
+        (2, "b", ["a"], "x", "other words", True, 10),
+        (3, "c", ["lost"], "x", "far", False, 20),  # both refer to what is not there
+        (4, "d", ["lost"], "y", "far too", False, 30),
+        (5, "e", ["b", "c"], "x", "joins", True, 40),  # and brings the two threads together
+        (6, "f", None, "x", "lunch", True, 20 * day),  # by subject
+        (7, "g", None, "x", "lunch", True, 31 * day),  # too late
+        (8, "h", None, "y", "lunch", True, 5 * day),  # another account
+        (9, "i", None, "x", "lunch", False, 5 * day),  # no reply, so a thread of its own
+        (10, "j", None, "x", "lunch", True, 32 * day),  # the newest thread is that of 9
+    ]
+    df = spark.createDataFrame(rows, "id long, message_id string, refs array<string>, account string, subject string, reply boolean, at long")
+    got = {r.id: r.thread for r in mining.threads(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 6, 8: 8, 9: 6, 10: 6}
+
+
+def test_deep_chains_and_gaps(spark):
+    chain = lambda n: spark.range(n).selectExpr("id AS node", "id + 1 AS parent")
+    assert [upkeep.has_cycle(chain(n)) for n in (1, 64, 65, 100)] == [False, False, True, True]
+    assert [upkeep.has_cycle(chain(n), depth=3) for n in (3, 4)] == [False, True]
+    ids = [1, 2, 50, 51, 52, 9000, 9001, 123456]
+    log = spark.createDataFrame([(i, i) for i in ids], "id long, at long")
+    for n in range(1, 12):
+        assert sorted(r.id for r in upkeep.prune(log, oldest=0, rows=n, id_col="id", time_col="at").collect()) == ids[-n:]
+    assert upkeep.prune(log, oldest=0, rows=0, id_col="id", time_col="at").isEmpty() and upkeep.prune(log.limit(0), oldest=0, rows=3, id_col="id", time_col="at").isEmpty()
+
+
+def test_an_arm_that_fails_at_run_time(spark):
+    arms = {"good": lambda: spark.range(3).selectExpr("id AS doc_id"), "bad": lambda: spark.range(3).selectExpr("CAST(raise_error('no') AS BIGINT) AS doc_id")}
+    out, failed = upkeep.fan_out(arms, "doc_id long", spark)
+    assert out.count() == 3 and failed == ["bad"]
+    with pytest.raises(NameError):
+        upkeep.fan_out({"typo": lambda: nowhere}, "doc_id long", spark)  # noqa: F821
+
+
+def test_cosine_of_any_vectors(spark):
+    v = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.1, 0.1]), (3, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.doc_id, round(r.score, 6)) for r in retrieve.knn(v, [2.0, 2.0], 3).orderBy("rank").collect()]
+    assert got == [(2, 1.0), (1, 0.707107), (3, 0.0)]

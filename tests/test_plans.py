@@ -68,7 +68,7 @@ def test_planner():
     assert plan(parse('a -b "c d"')) ["excluded"] == ["b"]
 
 
-@pytest.mark.parametrize("sql", ["SELECT 1; SELECT 2", "DELETE FROM v", "SELECT * FROM other", "WITH RECURSIVE r AS (SELECT 1) SELECT * FROM r", "SELECT java_method('a', 'b') FROM v", "SELECT * FROM v WHERE x IN (SELECT y FROM hidden)", "SELECT '" + "x" * 4000 + "'"])
+@pytest.mark.parametrize("sql", ["SELECT 1; SELECT 2", "DELETE FROM v", "SELECT * FROM other", "WITH RECURSIVE r AS (SELECT 1) SELECT * FROM r", "SELECT java_method('a', 'b') FROM v", "SELECT * FROM v WHERE x IN (SELECT y FROM hidden)", "SELECT '" + "x" * 4000 + "'", "SELECT `java_method`('java.lang.System', 'getProperty', 'user.home') FROM v", "SELECT `reflect`('java.lang.System', 'getProperty', 'user.home') FROM v", "SELECT 1 AS `'`, java_method('a', 'b') AS `'` FROM v", "SELECT * FROM other WHERE 1 IN (WITH other AS (SELECT 1 AS a) SELECT a FROM other)", "SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM range(5)", "SELECT IDENTIFIER('java_' || 'method')('a', 'b') FROM v", "SELECT explode(x) FROM v", "SELECT (SELECT max(y) FROM hidden) FROM v", "WITH w AS (SELECT * FROM hidden) SELECT * FROM w", "nonsense"])
 def test_refused(spark, sql):
     with pytest.raises((Refused, Exception)) as e:
         validate(spark, sql, {"v"})
@@ -83,3 +83,16 @@ def test_allowed(spark):
     assert len(got) == 500 and all(len(r.t) == 513 for r in got)
     rows, more = run_bounded(v.select("id"))
     assert len(rows) == 500 and more
+
+
+def test_sandbox_leaves_the_session_alone(spark):
+    spark.range(3).createOrReplaceTempView("v")
+    out = run_select(spark, "SELECT count(*) AS n FROM v", {"v": spark.range(600)})
+    assert out.fetch() == ([(600,)], False)
+    assert spark.table("v").count() == 3 and [t.name for t in spark.catalog.listTables() if t.name.startswith("lettermill_")] == []
+    rows, more = run_select(spark, "SELECT id FROM v ORDER BY id DESC", {"v": spark.range(600)}).fetch()
+    assert more and [r.id for r in rows] == list(range(599, 99, -1))
+    spark.catalog.dropTempView("v")
+    slow = run_select(spark, "SELECT sum(length(replace(t, 'a', 'b'))) AS n FROM v", {"v": spark.range(1 << 40).withColumn("t", F.repeat(F.lit("a"), 200))}, seconds=2)
+    with pytest.raises(Exception, match="(?i)cancel|interrupt"):
+        slow.fetch()
