@@ -169,3 +169,32 @@ def detect_language(text: str, least: int = 24, sure: float = 0.6) -> str | None
     hits = {k: sum(w in v for w in words) for k, v in known.items()}
     best = max(hits, key=lambda k: hits[k])
     return best if hits[best] and hits[best] / sum(hits.values()) >= sure else None
+
+
+# Patterns of written dates, from the least to the most ambiguous.
+DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "d MMM yyyy", "MMM d, yyyy", "dd/MM/yyyy"]
+
+
+def written_date(text: Column, formats: list[str] | None = None, years: tuple[int, int] = (1970, 2100)) -> Column:
+    """The date that text states in the first format that reads it, if its year is plausible; else null."""
+    found = F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in formats or DATE_FORMATS))
+    return F.when(F.year(found).between(*years), found)
+
+
+def fnv1a(text: str) -> int:
+    """The 64-bit FNV-1a hash of the text's UTF-8 bytes."""
+    h = 0xCBF29CE484222325  # fixed values: the hash's offset and prime
+    for b in text.encode():
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def fnv_bucket(buckets: int):
+    """A column function from texts to their bucket; null stays null."""
+
+    @F.pandas_udf("long")
+    def bucket(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([None if t is None else fnv1a(t) % buckets for t in s], dtype="Int64")
+
+    return bucket

@@ -50,3 +50,10 @@ def unsubscribe_candidate(*, messages: int = 5, read_rate: float = 0.2, replies:
 
 def unsubscribe_links(header: Column) -> list[Column]:
     return [F.regexp_extract(header, "<(https://[^>]+)>", 1).alias("web"), F.regexp_extract(header, "<mailto:([^>]+)>", 1).alias("mail")]
+
+
+def report(senders: DataFrame, limit: int) -> DataFrame:
+    """senders: sender, candidate, unread, messages. In the report's order, with the total before the limit."""
+    total = senders.agg(F.count(F.lit(1)).alias("total"))
+    top = senders.orderBy(F.desc("candidate"), F.desc("unread"), F.desc("messages"), "sender").limit(limit)
+    return top.crossJoin(F.broadcast(total))  # the total is one row

@@ -80,3 +80,25 @@ def accept(incumbent: float, candidate: float, *, queries: int, pairs: int, leas
     if queries < least_queries or pairs < least_pairs:
         return False, "too little feedback"
     return (True, "better") if candidate >= incumbent + gain else (False, "no gain")
+
+
+def resolve_golden(judgments: DataFrame, messages: DataFrame) -> DataFrame:
+    """judgments: q, message_id, gain; messages: id, message_id. Each judgment with the rows' smallest id, null where no
+    message has it: what is unresolved is reported, not dropped."""
+    known = messages.groupBy("message_id").agg(F.min("id").alias("id"))
+    return judgments.join(known, "message_id", "left").select("q", "message_id", "gain", "id", F.col("id").isNotNull().alias("resolved"))
+
+
+def macro(per_query: DataFrame, floors: dict[str, float], unresolved: int = 0) -> DataFrame:
+    """One row: the mean over queries of each metric that floors names, and ok: whether each reaches its floor and every
+    judgment was resolved. No query at all is not ok."""
+    m = per_query.agg(*(F.avg(c).alias(c) for c in floors))
+    ok = F.lit(unresolved == 0)
+    for c, floor in floors.items():
+        ok = ok & F.coalesce(F.col(c) >= floor, F.lit(False))
+    return m.withColumn("ok", ok)
+
+
+def worst(per_query: DataFrame, n: int, by: str = "ndcg", key: str = "q") -> DataFrame:
+    """The n queries with the lowest metric, ties by name."""
+    return per_query.orderBy(by, key).limit(n)

@@ -176,3 +176,56 @@ def natural_time(phrase: str, now: datetime) -> datetime | None:
     if hour > 23 or minute > 59:
         return None
     return (now + timedelta(days=ahead)).replace(hour=hour, minute=minute, second=0, microsecond=0)
+
+
+def export_page(messages: DataFrame, *, after: int = 0, page: int = 256, ids: list[int] | None = None, thread: int | None = None, mailbox: str | None = None, where=None) -> DataFrame:
+    """What an export takes next: the messages of all given selections with an id above the cursor, in order of id."""
+    m = messages.filter(F.col("id") > after)
+    if ids is not None:
+        m = m.filter(F.col("id").isin(ids))
+    for name, value in (("thread", thread), ("mailbox", mailbox)):
+        if value is not None:
+            m = m.filter(F.col(name) == value)
+    return (m if where is None else m.filter(where)).orderBy("id").limit(page)
+
+
+def ledger_query(ledger: DataFrame, limit: int, *, since=None, until=None, **equal) -> DataFrame:
+    """Newest first, at most limit, of the rows that meet all the predicates that are given (at: half-open)."""
+    rows = ledger
+    if since is not None:
+        rows = rows.filter(F.col("at") >= F.lit(since))
+    if until is not None:
+        rows = rows.filter(F.col("at") < F.lit(until))
+    for name, value in equal.items():
+        if value is not None:
+            rows = rows.filter(F.col(name) == value)
+    return rows.orderBy(F.desc("id")).limit(limit)
+
+
+def to_fire(hits: DataFrame, fired: DataFrame) -> DataFrame:
+    """hits, fired: rule, id. Each pair that a tick has to fire: those not fired before, once however often they hit."""
+    return hits.select("rule", "id").distinct().join(fired, ["rule", "id"], "left_anti")
+
+
+def upsert_entities(entities: DataFrame, mentions: DataFrame) -> DataFrame:
+    """entities: entity_id, kind, norm; mentions: kind, norm. The entities with a row for each new (kind, norm); those
+    that were there keep their ids, new ones are numbered on in the order of kind and norm."""
+    new = mentions.select("kind", "norm").distinct().join(entities, ["kind", "norm"], "left_anti")
+    # Ranges of new entities are counted first, so no task numbers them all.
+    parts = cut(new.repartitionByRange("kind", "norm").sortWithinPartitions("kind", "norm").withColumn("_at", F.monotonically_increasing_id()))
+    per = parts.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
+    before = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    start = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0)).alias("_last"))
+    numbered = parts.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(before), "_part").crossJoin(F.broadcast(start))
+    place = F.col("_at") - F.shiftleft(F.col("_part"), 33) + F.col("_before") + F.col("_last") + 1
+    return entities.select("entity_id", "kind", "norm").unionByName(numbered.select(place.alias("entity_id"), "kind", "norm"))
+
+
+def outbox_step(outbox: DataFrame, now: int, *, lease: int = 600) -> DataFrame:
+    """outbox: id, state, due, started, outcome (sent, refused, cancel or null). Adds next: scheduled goes to sending when
+    due, or to canceled; sending to sent or failed by its outcome, and to uncertain when it has none in time, as sending
+    again could send twice. The others are final."""
+    out = F.col("outcome")
+    begun = F.when(out == "cancel", "canceled").when(F.col("due") <= now, "sending").otherwise("scheduled")
+    ended = F.when(out == "sent", "sent").when(out == "refused", "failed").when(F.col("started") + lease <= now, "uncertain").otherwise("sending")
+    return outbox.withColumn("next", F.when(F.col("state") == "scheduled", begun).when(F.col("state") == "sending", ended).otherwise(F.col("state")))

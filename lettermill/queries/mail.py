@@ -280,3 +280,10 @@ def stream_queue(spark, d):
 
     q = table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("id"), (F.get_json_object("props", "$.k").cast("long") % 6 + 1).alias("attempts"))
     return after_failure(q).select("id", "state", "wait")
+
+
+@query("""WITH s AS (SELECT user_id AS sender, count(*) AS messages, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS unread, max(value) > 250 AS candidate FROM events GROUP BY 1)
+SELECT sender, candidate, messages, count(*) OVER () AS total FROM s ORDER BY candidate DESC, unread DESC, messages DESC, sender LIMIT 20""")
+def subscription_report(spark, d):
+    s = table(spark, d, "events").groupBy(F.col("user_id").alias("sender")).agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("event_type") == "view").alias("unread"), (F.max("value") > 250).alias("candidate"))
+    return contacts.report(s, 20).select("sender", "candidate", "messages", "total")

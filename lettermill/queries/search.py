@@ -386,6 +386,34 @@ def graded_pairs(spark, d):
     return preference_pairs(p, ["user_id", "day"], "event_id").select("user_id", "better", "worse", "margin", F.round("weight", 6).alias("weight"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 1000 < 250")
+@query("SELECT doc_id FROM documents WHERE list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) % 1000 < 250")
 def holdout(spark, d):
-    return docs(spark, d).filter(F.col("doc_id") % 1000 < 250).select("doc_id")
+    """A quarter of the documents by a hash of the id, so that which are held out follows from the id alone."""
+    from lettermill.functions.text import fnv_bucket
+
+    return docs(spark, d).select("doc_id").filter(fnv_bucket(1000)(F.col("doc_id").cast("string")) < 250)
+
+
+@query("SELECT 'm' || l.doc_id AS message_id, l.quality AS gain, d.doc_id AS id, d.doc_id IS NOT NULL AS resolved FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON d.doc_id = l.doc_id")
+def golden_resolve(spark, d):
+    """Judgments by message id against an index of the English documents; the others are reported unresolved."""
+    from lettermill.operators.evaluate import resolve_golden
+
+    name = lambda c: F.concat(F.lit("m"), F.col(c).cast("string")).alias("message_id")
+    judgments = table(spark, d, "labels").select(F.lit("q").alias("q"), name("doc_id"), F.col("quality").alias("gain"))
+    return resolve_golden(judgments, docs(spark, d).filter("lang = 'en'").select(F.col("doc_id").alias("id"), name("doc_id"))).drop("q")
+
+
+@query(f"SELECT round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr, round(avg(recall), 5) AS recall, avg(ndcg) >= 0.5 AND avg(mrr) >= 0.8 AND avg(recall) >= 0.0 AS ok FROM ({ORACLE['ndcg_mrr_recall']})")
+def golden_macro(spark, d):
+    from lettermill.operators.evaluate import macro, metrics
+
+    m = macro(metrics(judged(spark, d)), {"ndcg": 0.5, "mrr": 0.8, "recall": 0.0})
+    return m.select(*(F.round(c, 5).alias(c) for c in ("ndcg", "mrr", "recall")), "ok")
+
+
+@query(f"SELECT q, ndcg FROM ({ORACLE['ndcg_mrr_recall']}) ORDER BY ndcg, q LIMIT 3")
+def golden_worst(spark, d):
+    from lettermill.operators.evaluate import metrics, worst
+
+    return worst(metrics(judged(spark, d)).withColumn("ndcg", F.round("ndcg", 6)), 3).select("q", "ndcg")

@@ -146,3 +146,55 @@ def hybrid_folder(spark, d):
     en = docs(spark, d).filter("lang = 'en'")
     words = en.filter(F.lower("text").rlike("(^|[^a-z0-9])thing([^a-z0-9]|$)")).select("doc_id")
     return words.union(en.join(near, "doc_id", "left_semi").select("doc_id")).distinct()
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type = 'click' AND value > 50 AND event_id > 1000 ORDER BY event_id LIMIT 256")
+def export_selection(spark, d):
+    m = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("mailbox"), "value")
+    return upkeep.export_page(m, after=1000, mailbox="click", where=F.col("value") > 50).select("id")
+
+
+@query("SELECT event_id AS id, event_type AS kind FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL '5 days' AND event_type = 'error' ORDER BY event_id DESC LIMIT 100")
+def ledger_listing(spark, d):
+    from datetime import timedelta
+
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("ts").alias("at"))
+    return upkeep.ledger_query(e, 100, since=e.agg(F.max("at")).first()[0] - timedelta(days=5), kind="error", id=None).select("id", "kind")
+
+
+@query("WITH h AS (SELECT 'large' AS rule, event_id AS id FROM events WHERE value > 150 UNION SELECT 'bought', event_id FROM events WHERE event_type = 'purchase') SELECT rule, id FROM h WHERE NOT (rule = 'large' AND id IN (SELECT event_id FROM events WHERE event_type = 'view'))")
+def rule_tick(spark, d):
+    """Rules that hit again and again fire once for each message; those fired before do not."""
+    e = table(spark, d, "events")
+    hit = lambda rule, found: found.select(F.lit(rule).alias("rule"), F.col("event_id").alias("id"))
+    large, bought = hit("large", e.filter("value > 150")), hit("bought", e.filter("event_type = 'purchase'"))
+    return upkeep.to_fire(large.unionByName(bought).unionByName(large), hit("large", e.filter("event_type = 'view'")))
+
+
+@query("WITH e AS (SELECT row_number() OVER (ORDER BY n_name) AS entity_id, 'nation' AS kind, n_name AS norm FROM nation), n AS (SELECT DISTINCT 'brand' AS kind, p_brand AS norm FROM part) SELECT * FROM e UNION ALL SELECT 25 + row_number() OVER (ORDER BY kind, norm), kind, norm FROM n")
+def entity_upsert(spark, d):
+    """Nations have ids; brands and the same nations are mentioned."""
+    n = table(spark, d, "nation").select(F.row_number().over(Window.orderBy("n_name")).cast("long").alias("entity_id"), F.lit("nation").alias("kind"), F.col("n_name").alias("norm"))
+    mentions = table(spark, d, "part").select(F.lit("brand").alias("kind"), F.col("p_brand").alias("norm")).unionByName(n.select("kind", "norm"))
+    return upkeep.upsert_entities(n, mentions)
+
+
+@query("""WITH o AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'scheduled' WHEN 'click' THEN 'sending' ELSE 'sent' END AS state, CAST(floor(epoch(ts)) AS BIGINT) AS sec, CASE WHEN value < 20 THEN 'sent' WHEN value < 40 THEN 'refused' WHEN value < 60 THEN 'cancel' END AS outcome FROM events), n AS (SELECT max(sec) - 432000 AS now FROM o)
+SELECT id, CASE state WHEN 'scheduled' THEN CASE WHEN outcome = 'cancel' THEN 'canceled' WHEN sec <= now THEN 'sending' ELSE 'scheduled' END WHEN 'sending' THEN CASE WHEN outcome = 'sent' THEN 'sent' WHEN outcome = 'refused' THEN 'failed' WHEN sec + 600 <= now THEN 'uncertain' ELSE 'sending' END ELSE state END AS next FROM o, n""")
+def outbox_states(spark, d):
+    at = F.unix_timestamp(F.to_timestamp("ts"))
+    o = table(spark, d, "events").select(
+        F.col("event_id").alias("id"), F.when(F.col("event_type") == "view", "scheduled").when(F.col("event_type") == "click", "sending").otherwise("sent").alias("state"), at.alias("due"), at.alias("started"),
+        F.when(F.col("value") < 20, "sent").when(F.col("value") < 40, "refused").when(F.col("value") < 60, "cancel").alias("outcome"),
+    )
+    return upkeep.outbox_step(o, o.agg(F.max("due")).first()[0] - 432_000).select("id", "next")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 6 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS written FROM orders")
+def written_dates(spark, d):
+    """Order dates as they are written here and there, some with years that no order has."""
+    from lettermill.functions.text import DATE_FORMATS, written_date
+
+    day = F.to_date("o_orderdate")
+    said = F.element_at(F.array(*(F.date_format(day, f) for f in DATE_FORMATS), F.date_format(F.add_months(day, 12 * 900), "yyyy-MM-dd")), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", written_date(F.concat(F.lit(" "), said)).cast("string").alias("written"))
