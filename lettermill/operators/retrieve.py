@@ -66,12 +66,17 @@ def bm25(docs: DataFrame, terms: list[str], *, fields: dict[str, str] | None = N
     the few documents to score; the statistics are those of all."""
     fields = fields or {"body": "text"}
     weights = weights or FIELD_WEIGHTS
-    lists = docs.select(F.col(id_col).alias("doc_id"), *(tokens(F.coalesce(F.col(c), F.lit(""))).alias(f) for f, c in fields.items()))
+    low = docs.select(F.col(id_col).alias("doc_id"), *(F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f) for f, c in fields.items()))
 
     def same(term: str):
         return lambda w: F.startswith(w, F.lit(term)) if prefix else w == F.lit(term)
 
-    counted = lists.select("doc_id", sum((F.size(f) for f in fields), F.lit(0)).alias("dl"), *(sum((F.lit(weights.get(f, 1.0)) * F.size(F.filter(f, same(t))) for f in fields), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)))
+    def times(f: str, t: str) -> Column:
+        """Texts are only cut into words where the term stands in them at all; lengths need no words, just their number."""
+        return F.when(F.contains(f, F.lit(t)), F.size(F.filter(tokens(F.col(f)), same(t)))).otherwise(0)
+
+    length = sum((F.regexp_count(f, F.lit(r"[\p{L}\p{N}]+")) for f in fields), F.lit(0))
+    counted = low.select("doc_id", length.alias("dl"), *(sum((F.lit(weights.get(f, 1.0)) * times(f, t) for f in fields), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = counted.agg(F.count(F.lit(1)).alias("N"), F.avg("dl").alias("avgdl"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
     if only is not None:
         counted = counted.join(only, "doc_id", "left_semi")
