@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.operators.retrieve import recency
+
 # The cold-start weights of the first ranker; other features weigh nothing.
 L1_WEIGHTS = {
     "rrf_score": 1.0, "bm25_subject": 0.9, "bm25_body": 0.35, "cos_max_chunk": 0.8, "cos_mean_chunk": 0.3, "exact_phrase_hit": 0.6,
@@ -15,6 +17,8 @@ L1_WEIGHTS = {
 }
 FOLDER_PRIOR = {"inbox": 1.0, "archive": 0.6, "sent": 0.5, "spam": 0.05, "trash": 0.02}  # fixed values; others 0.4
 
+SENDER_CAP, BULK_SHARE = 20, 0.3  # fixed values: messages that count in full, what bulk senders keep of their reputation
+
 
 def saturate(n: Column, cap: int) -> Column:
     return F.least(F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)), F.lit(cap)) / F.lit(float(cap))
@@ -37,6 +41,34 @@ def bulk_flags(sender: Column, subject: Column) -> tuple[Column, Column]:
     return both.rlike("newsletter|digest|unsubscribe|weekly|marketing"), both.rlike("no-?reply|donotreply|notification|automated|alert|mailer-daemon")
 
 
+def sender_affinity(messages: Column, last_at: Column, now: int) -> Column:
+    """How much a sender writes, times how lately; 0 for one never seen."""
+    return saturate(messages, SENDER_CAP) * recency(last_at, now)
+
+
+def sender_reputation(messages: Column, bulk: Column) -> Column:
+    """How much a sender writes; senders in bulk keep a share of it."""
+    return saturate(messages, SENDER_CAP) * F.when(bulk, BULK_SHARE).otherwise(1.0)
+
+
+def date_intent(at: Column, ranges: list[tuple[int | None, int | None, bool]]) -> Column:
+    """Whether a time lies in all ranges (from, before, negated), half-open, outside those that are negated. False where
+    no range is asked for and for null times."""
+    inside = F.lit(bool(ranges))
+    for low, high, negated in ranges:
+        within = (F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high)
+        inside = inside & (~within if negated else within)
+    return F.coalesce(inside & at.isNotNull(), F.lit(False))
+
+
+def replied_threads(messages: DataFrame, thread_col: str, answered: Column) -> DataFrame:
+    """messages with replied: whether any message of the thread was answered; false without a thread. Threads that were
+    answered are made distinct first, so a long thread costs one row on that side."""
+    told = messages.filter(answered).filter(F.col(thread_col).isNotNull()).select(F.col(thread_col).alias("_told")).distinct()
+    j = messages.join(told, F.col(thread_col) == F.col("_told"), "left")
+    return j.withColumn("replied", F.col("_told").isNotNull()).drop("_told")
+
+
 def best_field(scores: dict[str, Column]) -> Column:
     """The field with the highest score above 0, ties to the earlier; null for none."""
     top = F.greatest(*scores.values(), F.lit(0.0))
@@ -84,6 +116,25 @@ def min_span(words: list[str], terms: list[str]) -> int | None:
     return None if best is None else best + 1
 
 
+def covering_span(words: Column, terms: list[str]) -> Column:
+    """min_span as an expression: the words are cut down to the terms' places, over which one pass keeps the last place
+    of each term."""
+    need = sorted(set(terms))
+    n = len(need)
+    if n < 2:
+        return F.lit(None).cast("int")
+    named = F.array(*map(F.lit, need))
+    coded = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(named, w), i * n + F.array_position(named, w).cast("int") - 1).otherwise(-1)), lambda x: x >= 0)
+    state = lambda last, best: F.struct(last.alias("last"), best.alias("best"))
+
+    def step(s: Column, x: Column) -> Column:
+        place, term = F.floor(x / n).cast("int"), (x % n).cast("int")
+        last = F.transform(s["last"], lambda p, k: F.when(k == term, place).otherwise(p))
+        return state(last, F.when(F.array_min(last) >= 0, F.least(s["best"], place - F.array_min(last) + 1)).otherwise(s["best"]))
+
+    return F.aggregate(coded, state(F.array_repeat(F.lit(-1), n), F.lit(None).cast("int")), step, lambda s: s["best"])
+
+
 def snippet(text: str | None, terms: list[str], size: int = 220) -> tuple[str, list[tuple[int, int]]]:
     """The stretch of about size characters that holds the most matches, cut at words, with its matches' places."""
     text = text or ""

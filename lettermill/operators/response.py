@@ -41,6 +41,12 @@ def bottlenecks(of: DataFrame, *, least: int = 3, seconds: int = 900, ratio: flo
     return g.select("contact", "ours_p50", "theirs_p50", slower.alias("slower"), (F.col("theirs_p50") / F.greatest(F.col("ours_p50"), F.lit(1))).alias("symmetry"))
 
 
+def stalled(exchange: DataFrame, *, least: int = 3) -> DataFrame:
+    """Contacts with whether as many of their messages are overdue as a sample must have."""
+    contacts = exchange.filter("contact IS NOT NULL").select("contact").distinct()
+    return contacts.join(overdue(exchange), "contact", "left").select("contact", (F.coalesce("overdue", F.lit(0)) >= least).alias("stalled"))
+
+
 def answered(exchange: DataFrame) -> DataFrame:
     """Messages to us with whether we wrote to the contact at or after their time."""
     last = exchange.filter("ours").groupBy("contact").agg(F.max("at").alias("last_ours"))

@@ -162,7 +162,7 @@ def max_mean(vectors: DataFrame, query: list[float], group_col: str, *, vector_c
 
 def recency(at: Column, now: int, half_life_days: float = 30.0) -> Column:
     age = F.greatest(F.lit(0.0), (F.lit(now) - at) / 86400.0)
-    return F.coalesce(F.exp(-age / half_life_days), F.lit(0.0))
+    return F.when(at.isNull(), 0.0).otherwise(F.exp(-age / half_life_days))
 
 
 def subsequence_score(query: str, text: str | None) -> float:

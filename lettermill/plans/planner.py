@@ -7,9 +7,11 @@ import re
 from lettermill.plans.grammar import ParsedQuery
 
 TERM_WEIGHTS = {"original": 1.0, "corrected": 1.2, "expansion": 0.35}  # fixed values
-QUESTION = set("who what when where why how which whose".split())
-LOOKUP = set("invoice order tracking number receipt phone address code iban id".split())
-EXPLORATORY = set("about related regarding discussion ideas overview summary topics anything everything".split())
+# Words that open a question, that ask for a fact, that ask for a topic, and dates said in words.
+QUESTION = set("who what when where why how which whose did does do should could would can is are am".split())
+LOOKUP = set("tracking track bill confirmation receipt order number account reference statement package parcel shipment balance".split())
+EXPLORATORY = set("everything about anything related regarding stuff discussion discussions thread threads mentions topics overview".split())
+RELATIVE_DATES = ["today", "yesterday", "last week", "this week", "last month", "this month", "last year", "this year"]
 
 # Weights of the intent's features, with the bias last. The features: words/8, operator, phrase, question
 # word, known contact, date signal, entity pattern, lookup share, exploratory share.
@@ -25,23 +27,26 @@ def edit_budget(term: str) -> int:
     return 0 if len(term) <= 3 else 1 if len(term) <= 5 else 2
 
 
-def intent_features(terms: list[str], *, operator: bool = False, phrase: bool = False, contact: bool = False, dated: bool = False) -> list[float]:
-    low = [t.lower() for t in terms]
-    n = max(1, len(low))
+def intent_features(terms: list[str], *, raw: str | None = None, phrases: int = 0, operator: bool = False, contact: bool = False, dated: bool = False) -> list[float]:
+    """raw: the query as it was typed (its terms, if not given). Only its first word can make it a question, and phrases
+    count like terms. dated: a date operator stands in it; a date said in words is found here."""
+    raw = " ".join(terms) if raw is None else raw
+    low, typed = [t.lower() for t in terms], raw.lower().split()
+    n = len(low) + phrases
     return [
-        min(len(low), 8) / 8,
+        min(n, 8) / 8,
         float(operator),
-        float(phrase),
-        float(any(t in QUESTION for t in low)),
+        float(phrases > 0),
+        float(typed[:1] != [] and typed[0] in QUESTION),
         float(contact),
-        float(dated),
-        float(bool(_ENTITY.search(" ".join(terms)))),
-        sum(t in LOOKUP for t in low) / n,
-        sum(t in EXPLORATORY for t in low) / n,
+        float(dated or any(f" {x} " in f" {' '.join(typed)} " for x in RELATIVE_DATES)),
+        float(bool(_ENTITY.search(raw))),
+        sum(t in LOOKUP for t in low) / max(1, n),
+        sum(t in EXPLORATORY for t in low) / max(1, n),
     ]
 
 
-def classify_intent(terms: list[str], **signals: bool) -> str:
+def classify_intent(terms: list[str], **signals) -> str:
     """The intent with the highest score; ties to the first in the table."""
     x = [*intent_features(terms, **signals), 1.0]
     scores = {k: sum(a * b for a, b in zip(w, x)) for k, w in INTENT_WEIGHTS.items()}
@@ -55,5 +60,5 @@ def plan(query: ParsedQuery) -> dict:
         "terms": [(w.lower(), TERM_WEIGHTS["original"]) for w in query.words],
         "phrases": [p.lower() for p in query.phrases],
         "excluded": [t.text.lower() for t in query.terms if t.negated],
-        "intent": classify_intent(query.words, operator=bool(query.filters), phrase=bool(query.phrases), dated=dated),
+        "intent": classify_intent(query.words, raw=query.raw, phrases=len(query.phrases), operator=bool(query.filters), dated=dated),
     }

@@ -252,14 +252,11 @@ def snippets(spark, d):
     return _top(spark, d).select("doc_id", shorten(F.col("text")).alias("snippet"))
 
 
-@query()
+@query(f"""WITH {_T}, o AS (SELECT doc_id, pos, pos - max(CASE WHEN term = 'thing' THEN pos END) OVER w AS a, pos - max(CASE WHEN term = 'attion' THEN pos END) OVER w AS b FROM t WHERE term IN ('thing', 'attion')
+ WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT d.doc_id, CAST(min(greatest(a, b) + 1) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS INTEGER) AS span FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id""")
 def min_span(spark, d):
-    @F.pandas_udf("int")
-    def span(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for words in batches:
-            yield words.map(lambda w: rank.min_span(list(w), TERMS)).astype("Int32")
-
-    return docs(spark, d).select("doc_id", span(retrieve.tokens(F.col("text"))).alias("span"))
+    return docs(spark, d).select("doc_id", rank.covering_span(retrieve.tokens(F.col("text")), TERMS).alias("span"))
 
 
 # Features and the linear ranker
@@ -328,6 +325,42 @@ def result_batches(spark, d):
     return x.select("doc_id", F.ceil(F.row_number().over(Window.orderBy(F.desc("l1"), "doc_id")) / 10.0).cast("int").alias("batch"))
 
 
+@query("""WITH u AS (SELECT user_id AS sender, count(*) AS n, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_at, bool_or(event_type = 'error' AND value > 150) AS bulk FROM events GROUP BY 1)
+SELECT sender, round(least(n, 20) / 20.0 * exp(-greatest(0.0, (1706745600 - last_at) / 86400.0) / 30.0), 6) AS affinity, round(least(n, 20) / 20.0 * CASE WHEN bulk THEN 0.3 ELSE 1.0 END, 6) AS reputation FROM u""")
+def sender_weights(spark, d):
+    """Users as senders, looked at from the first of February 2024."""
+    u = table(spark, d, "events").groupBy(F.col("user_id").alias("sender")).agg(F.count(F.lit(1)).alias("n"), F.max(epoch("ts")).alias("last_at"), F.bool_or((F.col("event_type") == "error") & (F.col("value") > 150)).alias("bulk"))
+    return u.select("sender", F.round(rank.sender_affinity(F.col("n"), F.col("last_at"), 1_706_745_600), 6).alias("affinity"), F.round(rank.sender_reputation(F.col("n"), F.col("bulk")), 6).alias("reputation"))
+
+
+@query("""SELECT event_id, "at" < 1705881600 AND NOT ("at" >= 1704672000 AND "at" < 1705276800) AS wanted, false AS unasked FROM (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS "at" FROM events)""")
+def date_intents(spark, d):
+    """Before the 22nd of January 2024 and not in its second week; and what holds where no date is asked for."""
+    ranges = [(None, 1_705_881_600, False), (1_704_672_000, 1_705_276_800, True)]
+    return table(spark, d, "events").select("event_id", rank.date_intent(epoch("ts"), ranges).alias("wanted"), rank.date_intent(epoch("ts"), []).alias("unasked"))
+
+
+@query("WITH e AS (SELECT *, CASE WHEN event_id % 9 <> 0 THEN event_id // 10 END AS thread FROM events) SELECT event_id, coalesce(bool_or(event_type = 'purchase') OVER (PARTITION BY thread) AND thread IS NOT NULL, false) AS replied FROM e")
+def replied_threads(spark, d):
+    e = table(spark, d, "events").withColumn("thread", F.when(F.col("event_id") % 9 != 0, F.expr("event_id div 10")))
+    return rank.replied_threads(e, "thread", F.col("event_type") == "purchase").select("event_id", "replied")
+
+
+@query("""WITH n AS (SELECT doc_id, 8.0 * len(regexp_extract_all(lower(split_part(text, '.', 1)), 'thing')) AS subject, 1.0 * len(regexp_extract_all(lower(text), 'thing')) AS body, 3.0 * len(regexp_extract_all(lower(source), 'web')) AS note FROM documents)
+SELECT doc_id, CASE WHEN greatest(subject, body, note) > 0 THEN CASE greatest(subject, body, note) WHEN subject THEN 'subject' WHEN body THEN 'body' ELSE 'note' END END AS field FROM n""")
+def best_match_field(spark, d):
+    """The field in which a weighted count of the query's word is highest."""
+    times = lambda c, word: F.coalesce(F.regexp_count(F.lower(c), F.lit(word)), F.lit(0))
+    found = {"subject": times(F.split_part("text", F.lit("."), F.lit(1)), "thing"), "body": times(F.col("text"), "thing"), "note": times(F.col("source"), "web")}
+    return docs(spark, d).select("doc_id", rank.best_field({f: n * retrieve.FIELD_WEIGHTS[f] for f, n in found.items()}).alias("field"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.6 WHEN 'purchase' THEN 0.5 WHEN 'error' THEN 0.05 ELSE 0.4 END AS prior FROM events")
+def folder_priors(spark, d):
+    folder = F.when(F.col("event_type") == "click", "INBOX").when(F.col("event_type") == "view", "Archive").when(F.col("event_type") == "purchase", "Sent").when(F.col("event_type") == "error", "Spam").otherwise(F.col("event_type"))
+    return table(spark, d, "events").select("event_id", rank.folder_prior(folder).alias("prior"))
+
+
 @query()
 def ranked_search(spark, d):
     """The whole path: retrieve, fuse, drop what only priors found, rank, collapse copies, cut snippets."""

@@ -222,3 +222,47 @@ def test_cosine_of_any_vectors(spark):
     v = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.1, 0.1]), (3, [0.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.doc_id, round(r.score, 6)) for r in retrieve.knn(v, [2.0, 2.0], 3).orderBy("rank").collect()]
     assert got == [(2, 1.0), (1, 0.707107), (3, 0.0)]
+
+
+def test_scan_names_things_without_overlaps():
+    from lettermill.operators.scan import scan
+
+    of = lambda t, **k: [(a, b) for a, b, _, _ in scan(t, **k)]
+    assert scan(None) == scan("") == []
+    assert of("https://t.example/1Z999AA10123456784") == [("url", "https://t.example/1Z999AA10123456784")]
+    assert of("(see https://a.example/x) and https://a.example/b(c).") == [("url", "https://a.example/x"), ("url", "https://a.example/b(c)")]
+    assert of("INV-2024-0231, €1.299,00 due") == [("amount", "EUR 129900")]
+    assert of("ref INV-2024-0231, 1,299.00 USD") == [("reference", "INV-2024-0231"), ("amount", "USD 129900")]
+    assert of("Please find the invoice attached. Order Number: pending. invoices, inventory") == []
+    assert of("on March 5, 2024 or 5 Mar 2024 or 2024-03-05T10:00Z, not 2024-02-30 nor Maroon 5 2024") == [("date", "2024-03-05")] * 3
+    assert of("+1 555-010-1234 24 hours; (555) 010-1234") == [("phone", "+15550101234"), ("phone", "5550101234")]
+    text = "a@b.example " * 20 + "c@b.example"
+    assert of(text) == [("email", "a@b.example")] * 8 + [("email", "c@b.example")]
+    assert of(text, most=1, each=2) == [("email", "a@b.example")] * 2
+    found = scan("x a@b.example y")
+    assert found == [("email", "a@b.example", 2, 13)]
+    assert scan("a." * 50_000) == []
+
+
+def test_spans_of_any_number_of_terms(spark):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    words = [list(w) for n in range(6) for w in itertools.product("abcx", repeat=n)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w array<string>")
+    for terms in (["a"], ["a", "b"], ["b", "a", "c", "a"]):
+        got = {r.i: r.s for r in df.select("i", rank.covering_span(F.col("w"), terms).alias("s")).collect()}
+        assert got == {i: rank.min_span(w, terms) for i, w in enumerate(words)}
+    assert spark.sql("SELECT CAST(null AS array<string>) AS w").select(rank.covering_span(F.col("w"), ["a", "b"])).first()[0] is None
+
+
+def test_senders_dates_and_replied_threads(spark):
+    df = spark.createDataFrame([(1, 10, 0, True), (2, 10, None, False), (3, None, 50, True), (4, 11, 200, None)], "id int, thread int, at long, answered boolean")
+    got = {r.id: r.replied for r in rank.replied_threads(df, "thread", df.answered).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}
+    of = lambda ranges: [r[0] for r in df.orderBy("id").select(rank.date_intent(df.at, ranges)).collect()]
+    assert of([]) == [False] * 4 and of([(None, 100, False)]) == [True, False, True, False] and of([(0, 50, True)]) == [False, False, True, True]
+    s = spark.createDataFrame([(40, 0, True), (5, None, False), (None, 0, None)], "n int, at long, bulk boolean")
+    assert [r[0] for r in s.select(rank.sender_affinity(s.n, s["at"], 0)).collect()] == [1.0, 0.0, 0.0]
+    assert [r[0] for r in s.select(rank.sender_reputation(s.n, s.bulk)).collect()] == [0.3, 0.25, 0.0]

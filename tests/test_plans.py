@@ -3,7 +3,7 @@ from datetime import date
 import pytest
 
 from lettermill.plans.grammar import Filter, Term, date_bounds, date_range, parse, render, size_of
-from lettermill.plans.planner import classify_intent, edit_budget, plan
+from lettermill.plans.planner import classify_intent, edit_budget, intent_features, plan
 from lettermill.plans.predicates import Fields, glob_pattern, mask, quiet
 from lettermill.plans.sandbox import Refused, run_bounded, run_select, validate
 from pyspark.sql import functions as F
@@ -65,6 +65,10 @@ def test_planner():
     assert classify_intent(["invoice", "tracking", "number"]) == "lookup"
     assert classify_intent(["ideas", "about", "travel"]) == "exploratory"
     assert classify_intent(["x"], operator=True, contact=True) == "navigational"
+    x = intent_features(["report", "what"], raw='report "a b" what', phrases=1)
+    assert x[0] == 3 / 8 and x[2] == 1.0 and x[3] == 0.0 and x[5] == 0.0
+    assert intent_features(["what", "moved"], raw="What moved last week")[3:6] == [1.0, 0.0, 1.0]
+    assert intent_features([])[0] == 0.0 and plan(parse("what about the move")).get("intent") == "exploratory"
     assert plan(parse('a -b "c d"')) ["excluded"] == ["b"]
 
 
