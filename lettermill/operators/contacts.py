@@ -24,6 +24,11 @@ def cadence(messages: DataFrame) -> DataFrame:
     return s.withColumns({"silence": silence, "dormant": silence > F.greatest(3 * F.col("median_gap"), F.lit(30 * 86400)), "declining": F.col("recent") / F.greatest(F.col("prior"), F.lit(1)) < 0.5})
 
 
+def dormant(known: DataFrame, messages: DataFrame) -> DataFrame:
+    """contact and dormant of every known contact; one that never wrote is dormant."""
+    return known.select("contact").distinct().join(cadence(messages).select("contact", "dormant"), "contact", "left").select("contact", F.coalesce("dormant", F.lit(True)).alias("dormant"))
+
+
 def topics(messages: DataFrame, contact_col: str, id_col: str, subject_col: str, top: int = 8) -> DataFrame:
     words = F.filter(F.split(F.lower(subject_col), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~w.isin(STOP))
     t = messages.select(F.col(contact_col).alias(contact_col), id_col, F.explode(F.array_distinct(words)).alias("term"))

@@ -71,3 +71,13 @@ def trend(of: DataFrame, *, range_days: int = 90, window_days: int = 28, step_da
     start = F.col("newest") - range_days * DAY
     holds = F.filter(ends, lambda e: (F.col("at") < e) & (F.col("at") >= F.greatest(e - window_days * DAY, start)))
     return stats(t.select("latency", F.explode(holds).alias("until")), ["until"])
+
+
+def report(exchange: DataFrame) -> DataFrame:
+    """contact, total, samples, p50, p90 and overdue: a row for each contact that we answered, and one with total set over
+    all of them (contact is null there)."""
+    ours = pairs(exchange).filter("ours")
+    rows = ours.rollup("contact").agg(F.grouping("contact").cast("boolean").alias("total"), F.count(F.lit(1)).alias("samples"), percentile("latency", 0.5).alias("p50"), percentile("latency", 0.9).alias("p90"))
+    late = overdue(exchange).rollup("contact").agg(F.grouping("contact").cast("boolean").alias("total"), F.sum("overdue").alias("overdue"))
+    late = late.select(F.col("contact").alias("c"), F.col("total").alias("t"), "overdue")
+    return rows.join(late, F.expr("total = t AND contact <=> c"), "left").select("contact", "total", "samples", "p50", "p90", F.coalesce("overdue", F.lit(0)).alias("overdue"))

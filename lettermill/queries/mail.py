@@ -96,6 +96,19 @@ def cadence_decay(spark, d):
     return c.select("contact", "messages", F.round("direction", 6).alias("direction"), "first_at", "last_at", "median_gap", "longest_gap", "dormant", "declining")
 
 
+@query(f"SELECT c_custkey AS contact, coalesce(dormant, true) AS dormant FROM customer LEFT JOIN ({ORACLE['cadence_decay']}) x ON x.contact = c_custkey")
+def dormant_contacts(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("contact"), F.col("event_id").alias("id"), epoch("ts").alias("at"), (F.col("event_type") == "purchase").alias("outbound"))
+    return contacts.dormant(table(spark, d, "customer").select(F.col("c_custkey").alias("contact")), e)
+
+
+@query(f"""WITH {_X}, o AS ({ORACLE['overdue_counts']}), w AS (SELECT * FROM p WHERE ours)
+SELECT w.contact, false AS total, count(*) AS samples, quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.9) AS p90, coalesce(any_value(overdue), 0) AS overdue FROM w LEFT JOIN o ON o.contact = w.contact GROUP BY w.contact
+UNION ALL SELECT NULL, true, count(*), quantile_disc(latency, 0.5), quantile_disc(latency, 0.9), CAST((SELECT coalesce(sum(overdue), 0) FROM o) AS BIGINT) FROM w""")
+def response_report(spark, d):
+    return response.report(exchange(spark, d))
+
+
 @query(r"""WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS place FROM documents) WHERE place <= 400), t AS (SELECT DISTINCT source, doc_id, unnest(list_filter(regexp_split_to_array(lower(split_part(text, '.', 1)), '[^\pL\pN]+'), lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$') AND x NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'are', 'was', 'you', 'your'))) AS term FROM n)
 SELECT source, term, df FROM (SELECT source, term, count(*) AS df, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, term) AS r FROM t GROUP BY 1, 2 HAVING count(*) > 1) WHERE r <= 8""")
 def topic_terms(spark, d):

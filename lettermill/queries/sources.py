@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from lettermill.operators import invoices
 from lettermill.operators.response import dedupe
-from lettermill.sources import delimited
+from lettermill.sources import attachments, delimited
 from lettermill.sources.calendar import parse_calendar, write_calendar
 from lettermill.sources.mail import eml, mbox, parse_column
-from lettermill.sources.tables import table
+from lettermill.sources.tables import table, write
 from lettermill.streaming.log import retain, since
-from lettermill.streaming.queue import backoff, lease
+from lettermill.streaming.queue import backoff, enqueue, lease
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -166,3 +166,49 @@ def normalised_texts(spark, d):
             yield pd.DataFrame({"text": t, "language": t.map(detect_language)})
 
     return table(spark, d, "documents").select("doc_id", run("text").alias("x")).select("doc_id", F.sha2("x.text", 256).alias("hash"), "x.language")
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN CASE WHEN html IS NULL THEN 'empty' ELSE 'ok' END WHEN 1 THEN 'empty' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'encrypted' WHEN 4 THEN 'failed' ELSE 'too_large' END AS status,
+ CASE WHEN page_id % 6 = 0 THEN sha256('Source: ' || html) END AS hash FROM pages""")
+def attachment_texts(spark, d):
+    """Pages as attachments of every status: text files, empty ones, archives, sealed ones, broken ones and large ones."""
+    sixth, html = F.col("page_id") % 6, F.col("html").cast("string")
+    content = F.when(sixth == 0, F.concat(F.lit("Source: "), html).cast("binary")).when(sixth == 1, F.lit("").cast("binary")).when(sixth == 2, F.lit(b"PK\x03\x04 and more")).when(sixth == 3, F.lit(b"\xd0\xcf\x11\xe0 and more")).when(sixth == 4, F.lit(b"caf\xe9")).otherwise(F.lit(b"x" * 200_001))
+    files = table(spark, d, "pages").select("page_id", F.concat(F.lit("page"), F.col("page_id").cast("string"), F.lit(".TXT")).alias("name"), content.alias("content"))
+    return attachments.texts(files, "name", "content", most=200_000).select("page_id", "status", F.sha2("text", 256).alias("hash"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000")
+def table_writes(spark, d):
+    """Written, replaced and appended to, then read back."""
+    import uuid
+
+    from lettermill.session import shared_dir
+
+    path = f"{shared_dir(spark)}/lettermill/writes-{uuid.uuid4().hex[:8]}"
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    dear = o.filter("o_totalprice > 200000")
+    write(dear, path)
+    write(o, path, "overwrite")
+    write(dear, path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT event_id AS id, CASE WHEN event_type = 'view' THEN 'leased' ELSE 'pending' END AS state, CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS INTEGER) AS attempts FROM events WHERE NOT (event_type = 'click' AND event_id % 2 = 0)")
+def queue_enqueue(spark, d):
+    """Views wait already; clicks are done, every other one with what they held before."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.lit("embed").alias("kind"), F.concat_ws("/", "event_type", "user_id").alias("hash"), "event_type")
+    queue = e.filter("event_type = 'view'").select("id", "kind", F.lit("leased").alias("state"), F.lit(1).alias("attempts"))
+    done = e.filter("event_type = 'click'").select("id", "kind", F.when(F.col("id") % 2 == 0, F.col("hash")).otherwise("old").alias("hash"))
+    return enqueue(queue, e.drop("event_type"), done).select("id", "state", "attempts")
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS d, l_suppkey AS v FROM lineitem), n AS (SELECT DISTINCT l_orderkey AS d, l_suppkey AS v FROM lineitem WHERE l_returnflag <> 'R'),
+e AS (SELECT a.v AS src, b.v AS dst, count(*) AS weight FROM a JOIN a b ON a.d = b.d AND a.v < b.v GROUP BY 1, 2)
+SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM n x JOIN n y ON x.d = y.d WHERE x.v = e.src AND y.v = e.dst)""")
+def edges_to_drop(spark, d):
+    """Pairs of suppliers that only returned goods still hold together."""
+    from lettermill.operators.mining import cooccurrence, orphan_edges
+
+    m = table(spark, d, "lineitem")
+    return orphan_edges(cooccurrence(m, "l_orderkey", "l_suppkey"), m.filter("l_returnflag <> 'R'"), "l_orderkey", "l_suppkey")

@@ -266,3 +266,45 @@ def test_senders_dates_and_replied_threads(spark):
     s = spark.createDataFrame([(40, 0, True), (5, None, False), (None, 0, None)], "n int, at long, bulk boolean")
     assert [r[0] for r in s.select(rank.sender_affinity(s.n, s["at"], 0)).collect()] == [1.0, 0.0, 0.0]
     assert [r[0] for r in s.select(rank.sender_reputation(s.n, s.bulk)).collect()] == [0.3, 0.25, 0.0]
+
+
+def test_attachments_by_status():
+    from lettermill.sources.attachments import detect, extract
+
+    assert extract("a.html", b"<p>x</p><script>y</script>") == ("ok", "x") and extract(None, b" <!DOCTYPE html><p>x") == ("ok", "x")
+    assert extract("a.txt", None) == extract("a.txt", b"") == extract("a.txt", b" \n") == ("empty", None)
+    assert extract("a.pdf", b"%PDF-1.7 /Encrypt 5 0 R") == ("encrypted", None) and extract("a.pdf", b"%PDF-1.7") == ("unsupported", None)
+    assert extract("a.txt", b"\xff\xfe\x00") == ("failed", None) and extract("a.bin", b"x") == extract(None, b"x") == ("unsupported", None)
+    assert detect("a.txt", b"PK\x03\x04") == "office"
+
+
+def test_writes_hold_their_contract(spark, tmp_path):
+    from lettermill.sources.tables import write
+
+    path = f"file://{tmp_path}/t"
+    write(spark.range(3), path, "overwrite")
+    write(spark.range(2), path)
+    assert spark.read.parquet(path).count() == 5
+    with pytest.raises(ValueError):
+        write(spark.range(2).selectExpr("CAST(id AS string) AS id"), path)
+    with pytest.raises(ValueError):
+        write(spark.range(2), path, "replace")
+    with pytest.raises(Exception):
+        write(spark.range(2).selectExpr("raise_error('dies')"), path, "overwrite")
+    assert spark.read.parquet(path).count() == 5
+    write(spark.range(1), path, "overwrite")
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_membership_as_a_stream(spark, tmp_path):
+    ledger, fired = [1, 9], []
+    rows = lambda ids: spark.createDataFrame([(i,) for i in ids], "id long")
+
+    def stamp(df):
+        ledger[:] = sorted(r.id for r in df.collect())
+
+    run = membership.foreach_batch(lambda: rows(ledger), stamp, lambda df, n: fired.extend(r.id for r in df.collect()), lambda batch: batch.filter("id < 4"))
+    rows([1, 2, 3, 7]).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+    assert ledger == [1, 2, 3] and sorted(fired) == [2, 3]
