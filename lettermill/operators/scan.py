@@ -73,6 +73,10 @@ KINDS: list[tuple[str, re.Pattern, Callable[[str], str | None]]] = [
     ("phone", re.compile(r"(?<![0-9.-])(?P<v>\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4})(?![0-9-])"), _phone),
 ]
 
+#: What a text must hold for a kind to be in it at all; every other kind holds a digit.
+_NEEDS = {"url": "://", "email": "@"}
+_DIGIT = re.compile(r"\d")
+
 
 def _end(kind: str, value: str) -> int:
     """How much of a value counts: a URL gives up closing parentheses that it doesn't open."""
@@ -85,9 +89,12 @@ def _end(kind: str, value: str) -> int:
 def scan(text: str | None, most: int = 64, each: int = 8) -> list[tuple[str, str, int, int]]:
     """kind, normal form, start and end of what the text names, without overlaps: what starts first stays, of two that
     start together the longer. The first `most` different things count, each at most `each` times; null names nothing."""
-    found = []
+    text, found = text or "", []
+    digit = _DIGIT.search(text) is not None
     for kind, pattern, normal in KINDS:
-        for m in pattern.finditer(text or ""):
+        if not (_NEEDS[kind] in text if kind in _NEEDS else digit):
+            continue
+        for m in pattern.finditer(text):
             value = m["v"][: _end(kind, m["v"])]
             if (norm := normal(value)) is not None:
                 found.append((m.start("v"), -m.start("v") - len(value), kind, norm))
