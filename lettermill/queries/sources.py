@@ -203,12 +203,12 @@ def queue_enqueue(spark, d):
     return enqueue(queue, e.drop("event_type"), done).select("id", "state", "attempts")
 
 
-@query("""WITH a AS (SELECT DISTINCT l_orderkey AS d, l_suppkey AS v FROM lineitem), n AS (SELECT DISTINCT l_orderkey AS d, l_suppkey AS v FROM lineitem WHERE l_returnflag <> 'R'),
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS v FROM lineitem), n AS (SELECT DISTINCT l_orderkey AS d, l_partkey AS v FROM lineitem WHERE l_returnflag <> 'R'),
 e AS (SELECT a.v AS src, b.v AS dst, count(*) AS weight FROM a JOIN a b ON a.d = b.d AND a.v < b.v GROUP BY 1, 2)
 SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM n x JOIN n y ON x.d = y.d WHERE x.v = e.src AND y.v = e.dst)""")
 def edges_to_drop(spark, d):
-    """Pairs of suppliers that only returned goods still hold together."""
+    """Pairs of parts that stood together only in orders of which one of them came back."""
     from lettermill.operators.mining import cooccurrence, orphan_edges
 
     m = table(spark, d, "lineitem")
-    return orphan_edges(cooccurrence(m, "l_orderkey", "l_suppkey"), m.filter("l_returnflag <> 'R'"), "l_orderkey", "l_suppkey")
+    return orphan_edges(cooccurrence(m, "l_orderkey", "l_partkey"), m.filter("l_returnflag <> 'R'"), "l_orderkey", "l_partkey")
