@@ -80,10 +80,11 @@ class LanguageModel:
 
     def gram_scores(self, word: str) -> np.ndarray | None:
         padded = f" {word} "
+        known = self.grams.get
         for m in range(min(self.longest, len(padded)), 0, -1):
-            found = [row for i in range(len(padded) - m + 1) if (row := self.grams.get(padded[i : i + m])) is not None]
+            found = [row for i in range(len(padded) - m + 1) if (row := known(padded[i : i + m])) is not None]
             if found:
-                return self.logs[found].mean(axis=0)
+                return np.add.reduce(self.logs.take(found, axis=0)) / len(found)
         return None
 
 
@@ -129,10 +130,10 @@ class Predictor:
         words = words_of(text)
         if not words or not self.model.langs:
             return UND, 0.0
-        rows = list(map(self.known.__getitem__, words))
+        rows = np.fromiter(map(self.known.__getitem__, words), np.intp, len(words))
         total = np.zeros(len(self.model.langs))
         for i in range(0, len(rows), self.at_once):
-            total += self.logs[rows[i : i + self.at_once]].sum(axis=0)
+            total += np.add.reduce(self.logs.take(rows[i : i + self.at_once], axis=0))
         # The order of the sums follows from the text alone, so equal texts have equal scores.
         for word, n in sorted(Counter(self.known.unseen).items()):
             if (found := self._scores(word)) is not None:
