@@ -19,9 +19,10 @@ class OverCap(ValueError):
     """A scan that would read more rows than it may."""
 
 
-def capped(df: DataFrame, cap: int = 250_000) -> DataFrame:
-    """df, or OverCap: the rows are never cut silently. The probe stops at one row more than the cap."""
-    if df.limit(cap + 1).count() > cap:
+def capped(df: DataFrame, cap: int | None = 250_000) -> DataFrame:
+    """df, or OverCap: the rows are never cut silently. The probe stops at one row more than the cap. The cap is for rows
+    that one process will hold; None is for a scan whose rows stay with the executors, which has neither cap nor probe."""
+    if cap is not None and df.limit(cap + 1).count() > cap:
         raise OverCap(f"over {cap} rows")
     return df
 

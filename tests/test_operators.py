@@ -308,3 +308,15 @@ def test_membership_as_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
     stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
     assert ledger == [1, 2, 3] and sorted(fired) == [2, 3]
+
+
+def test_a_scan_that_nobody_holds_has_no_cap(spark, tmp_path):
+    from lettermill.queries.upkeep import capped_scan
+
+    n = 250_001
+    orders = spark.range(2 * n).select(F.col("id").alias("o_orderkey"), F.when(F.col("id") % 2 == 0, "1-URGENT").otherwise("5-LOW").alias("o_orderpriority"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = capped_scan(spark, str(tmp_path)).agg(F.count("*"), F.count_distinct("o_orderkey"), F.sum(F.col("o_orderkey") % 2), F.max("o_orderkey")).first()
+    assert tuple(got) == (n, n, 0, 2 * n - 2)
+    with pytest.raises(upkeep.OverCap):
+        upkeep.capped(orders)
