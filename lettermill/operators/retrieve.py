@@ -137,8 +137,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """v by its length, which is computed once."""
-    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: x.cast("double") / n))[0]
+    """v by its length, which is computed once. Nulls add nothing to it and stay; by a length of 0 one divides as IEEE 754
+    does, which Spark's own division refuses."""
+    own = F.filter(v, lambda x: x.isNotNull())
+    by = lambda x, n: F.when(n == 0, x * float("inf")).otherwise(x / n)
+    return F.transform(F.array(F.sqrt(dot(own, own))), lambda n: F.transform(v, lambda x: by(x.cast("double"), n)))[0]
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", units: bool = False) -> DataFrame:
